@@ -1,3 +1,8 @@
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = ""
+"""All queries of the engine and their SQL."""
+
+from __future__ import annotations
+
+from tracelake.plans import rate_queries, relation_queries, trace_queries  # noqa: F401
+from tracelake.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "tot_summary"
