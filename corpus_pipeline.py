@@ -36,9 +36,9 @@ def _unique(found: DataFrame) -> bool:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of repeated passages go; documents of which nothing is left go too.  Where a cut falls
     inside a character, its remaining bytes go as well."""
-    kept = suffixes.removed(spark, docs, length=100, keep_text=True)
-    text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(F.expr("replace(decode(kept, 'UTF-8'), '\\uFFFD', '')"))
-    kept = kept.where("n_bytes = 0 OR n_removed < n_bytes").withColumn("text", text)
+    marked = docs.withColumn("whole", F.when(F.col("text").isNotNull(), True))
+    kept = suffixes.removed(spark, marked, length=100, keep_text=True)
+    kept = kept.where("n_bytes = 0 OR n_removed < n_bytes").withColumn("text", F.when(F.col("whole").isNotNull(), F.col("kept")))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

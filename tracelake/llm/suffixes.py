@@ -295,7 +295,8 @@ def spans(spark: SparkSession, docs: DataFrame, length: int = 100) -> DataFrame:
 
 
 def removed(spark: SparkSession, docs: DataFrame, length: int = 100, keep_text: bool = False) -> DataFrame:
-    """The documents with n_bytes, n_removed, n_spans, kept_sha256, and if asked for the kept bytes as `kept`."""
+    """The documents with n_bytes, n_removed, n_spans, kept_sha256, and if asked for the kept text
+    as `kept`, without the rest of a character that a cut goes through."""
     found = cut(spark, spans(spark, docs, length))
     lists = found.groupBy(F.col("doc_id").alias("id"), F.col("mark").alias("m")).agg(
         F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")
@@ -306,7 +307,7 @@ def removed(spark: SparkSession, docs: DataFrame, length: int = 100, keep_text:
     names = [c for c in docs.columns if c != "text"] if keep_text else ["doc_id"]
     types = {f.name: f for f in docs.schema}
     ddl = [f"`{c}` {types[c].dataType.simpleString()}" for c in names]
-    ddl += ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + ["kept binary"] * keep_text
+    ddl += ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + ["kept string"] * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -322,9 +323,9 @@ def removed(spark: SparkSession, docs: DataFrame, length: int = 100, keep_text:
                         a, b = a[start].tolist(), top[np.append(start[1:], len(top)) - 1].tolist()
                         kept = b"".join(text[x:y] for x, y in zip([0, *b], [*a, len(text)]))
                         gone, runs = len(text) - len(kept), len(a)
-                    for c, v in zip(cols, (len(text), gone, runs, hashlib.sha256(kept).hexdigest(), kept)):
+                    for c, v in zip(cols, (len(text), gone, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))):
                         c.append(v)
-                made = [pa.array(cols[i], t) for i, t in enumerate([pa.int64()] * 3 + [pa.string(), pa.binary()])]
+                made = [pa.array(cols[i], t) for i, t in enumerate([pa.int64()] * 3 + [pa.string(), pa.string()])]
                 made = made if keep_text else made[:4]
                 fields = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(made)]
                 yield pa.RecordBatch.from_arrays([piece.column(n) for n in names] + made, names=names + fields)
