@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import batch, cut, slices, texts_of
+from tracelake.llm.common import batch, cut, release, slices, texts_of
 from tracelake.llm.components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -190,6 +190,7 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, k: in
         .agg(F.first("grp").alias("grp"))
     )
     met = cut(spark, met)
+    release(spark)
     opened = met.select("g").distinct()
     rows = (
         classes.join(opened, classes.grp == opened.g).select("fp", "doc_id", "g", F.lit(True).alias("inside"))
@@ -249,6 +250,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, per_cent: int = 80) -
     )
     classes = cut(spark, classes)
     links = cut(spark, link_classes(spark, docs, classes, k, per_cent))
+    release(spark)
     labels = components(spark, links)
     of = classes.select("fp", "doc_id").join(labels.withColumnRenamed("node", "fp"), "fp", "left")
     of = of.select("fp", "doc_id", F.coalesce("label", "fp").alias("label"))

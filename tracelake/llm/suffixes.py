@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import batch, cut, fan_out, slices, texts_of
+from tracelake.llm.common import batch, cut, fan_out, release, slices, texts_of
 
 GRAM = 40
 CHUNK = 1 << 21
@@ -298,6 +298,7 @@ def removed(spark: SparkSession, docs: DataFrame, length: int = 100, keep_text:
     """The documents with n_bytes, n_removed, n_spans, kept_sha256, and if asked for the kept text
     as `kept`, without the rest of a character that a cut goes through."""
     found = cut(spark, spans(spark, docs, length))
+    release(spark)
     lists = found.groupBy(F.col("doc_id").alias("id"), F.col("mark").alias("m")).agg(
         F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")
     )
