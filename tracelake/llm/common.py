@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -29,16 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextlib.contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Drop a query's shuffle files as it ends: what it made is then in the shared folder."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage there."""
     shared_dir(spark)
-    return df.checkpoint()
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files that nothing refers to any more, such as those behind a cut."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with _tidy(spark):
+        return df.checkpoint()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -48,7 +58,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Like :func:`cut`, as a compressed columnar table, for wide rows."""
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
