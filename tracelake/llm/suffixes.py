@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import batch, cut, fan_out, slices, texts_of
+from tracelake.llm.common import batch, fan_out, slices, stored, texts_of
 
 GRAM = 40
 CHUNK = 1 << 21
@@ -121,7 +121,8 @@ def seeds(docs: DataFrame, length: int) -> DataFrame:
                 start = np.append(0, ends)[doc]
                 mark = piece.column("mark").to_numpy(zero_copy_only=False)[doc]
                 pos = pack(mark, at - start, at - last, at - first)
-                yield batch(schema, [h.view(np.int64), piece.column("doc_id").take(pa.array(doc)), pos])
+                h = (h >> np.uint64(16)).view(np.int64)  # seeds that share these bits only cost work
+                yield batch(schema, [h, piece.column("doc_id").take(pa.array(doc)), pos])
 
     return _marked(docs).mapInArrow(run, "h long, doc_id long, pos long")
 
@@ -297,7 +298,7 @@ def spans(spark: SparkSession, docs: DataFrame, length: int = 100) -> DataFrame:
 def removed(spark: SparkSession, docs: DataFrame, length: int = 100, keep_text: bool = False) -> DataFrame:
     """The documents with n_bytes, n_removed, n_spans, kept_sha256, and if asked for the kept text
     as `kept`, without the rest of a character that a cut goes through."""
-    found = cut(spark, spans(spark, docs, length))
+    found = stored(spark, spans(spark, docs, length), "spans")
     lists = found.groupBy(F.col("doc_id").alias("id"), F.col("mark").alias("m")).agg(
         F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")
     )
