@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import batch, fan_out, slices, stored, texts_of
 
-GRAM = 40
+GRAM = 32
 CHUNK = 1 << 21
 POSITION = np.uint64((1 << 23) - 1)
 ODD = np.random.default_rng(7).integers(1, 2**63, 32, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,8 +95,8 @@ def anchors(data: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...
 
 
 def pack(mark: np.ndarray, offset: np.ndarray, back: np.ndarray, fore: np.ndarray) -> np.ndarray:
-    """Row mark (20 bits), offset in the text (31), and how far before the anchor its windows start, least and most."""
-    return mark.astype(np.int64) << 43 | offset << 12 | back << 6 | fore
+    """Row mark (20 bits), offset in the text (29), and how far before the anchor its windows start, least and most."""
+    return mark.astype(np.int64) << 43 | offset << 14 | back << 7 | fore
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -176,9 +176,9 @@ def repeated(doc_id: np.ndarray, pos: np.ndarray, ctx: np.ndarray, length: int)
     early = np.lexsort((pos, doc_id))
     early = early[np.append(True, (np.diff(doc_id[early]) != 0) | (np.diff(pos[early]) != 0))]
     doc_id, pos, ctx = doc_id[early], pos[early], ctx[early]
-    back, fore = pos >> 6 & 63, pos & 63
+    back, fore = pos >> 7 & 127, pos & 127
     turned = np.concatenate([ctx[:, side:], ctx[:, :side][:, ::-1], pos[:, None].astype("<u8").view(np.uint8)[:, :2]], 1)
-    turned[:, -1] &= 15  # back and fore: equal windows at the ends of a document
+    turned[:, -1] &= 63  # back and fore: equal windows at the ends of a document
     fill = -turned.shape[1] % 8
     words = np.ascontiguousarray(np.pad(turned, ((0, 0), (0, fill)))).view(">u8").astype(np.uint64)
     order, shared = multikey_sort(words)
@@ -221,14 +221,14 @@ def repeated(doc_id: np.ndarray, pos: np.ndarray, ctx: np.ndarray, length: int)
             lows.append(dist[start])
             highs.append(dist[stop])
     rows, lows, highs = np.concatenate(rows), np.concatenate(lows), np.concatenate(highs)
-    offset = pos[rows] >> 12 & 0x7FFFFFFF
+    offset = pos[rows] >> 14 & 0x1FFFFFFF
     return doc_id[rows], pos[rows] >> 43, offset - highs, offset - lows
 
 
 def spans(spark: SparkSession, docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, mark, lo, hi: all windows that start at lo to hi are repeats."""
-    if not GRAM + 8 <= length <= GRAM + 63:
-        raise ValueError(f"length must be from {GRAM + 8} to {GRAM + 63}")
+    if not GRAM + 8 <= length <= GRAM + 127:
+        raise ValueError(f"length must be from {GRAM + 8} to {GRAM + 127}")
     side = length - GRAM
     counted = seeds(docs, length).withColumn("n", F.count("*").over(Window.partitionBy("h")))
     places = counted.where("n > 1").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("pos").alias("pos"))
@@ -250,7 +250,7 @@ def spans(spark: SparkSession, docs: DataFrame, length: int = 100) -> DataFrame:
                         continue
                     padded = np.zeros(len(text) + side + length, np.uint8)
                     padded[side : side + len(text)] = np.frombuffer(text, np.uint8)
-                    at = pos >> 12 & 0x7FFFFFFF
+                    at = pos >> 14 & 0x1FFFFFFF
                     around = np.lib.stride_tricks.sliding_window_view(padded, length + side)[at]
                     lead = np.ascontiguousarray(around[:, side : side + 8]).view(">u8").astype(np.uint64)[:, 0]
                     bucket = np.searchsorted(cuts, (lead ^ np.uint64(1 << 63)).view(np.int64), "right")
