@@ -170,7 +170,8 @@ def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated(doc_id: np.ndarray, pos: np.ndarray, ctx: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of the anchors of a bucket, those with repeated windows: their rows and ranges of window starts.
 
-    ctx: for each the length - GRAM bytes before the anchor and `length` from it on, filled up with zeros.
+    ctx: for each the length - GRAM bytes before the anchor and `length` from it on, with zeros for all
+    that its windows don't cover.
     """
     side = length - GRAM
     early = np.lexsort((pos, doc_id))
@@ -254,7 +255,9 @@ def spans(spark: SparkSession, docs: DataFrame, length: int = 100) -> DataFrame:
                     around = np.lib.stride_tricks.sliding_window_view(padded, length + side)[at]
                     lead = np.ascontiguousarray(around[:, side : side + 8]).view(">u8").astype(np.uint64)[:, 0]
                     bucket = np.searchsorted(cuts, (lead ^ np.uint64(1 << 63)).view(np.int64), "right")
-                    data = pa.py_buffer(np.ascontiguousarray(around).tobytes())
+                    column = np.arange(length + side)  # only what the anchor's own windows cover
+                    own = (column >= (side - (pos & 127))[:, None]) & (column < (side + length - (pos >> 7 & 127))[:, None])
+                    data = pa.py_buffer(np.where(own, around, np.uint8(0)).tobytes())
                     ctx = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length + side), len(pos), [None, data]).cast(pa.binary())
                     ids = pa.array([doc_id] * len(pos), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), ids, pa.array(pos), ctx], schema=schema)
