@@ -205,35 +205,23 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, k: in
     )
     want = rows.withColumnRenamed("doc_id", "want")
     texts = docs.select("doc_id", "text").join(want, F.col("doc_id").eqNullSafe(F.col("want")))
-    schema = pa.schema(
-        [("g", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("fp", pa.binary()), ("inside", pa.bool_())]
-        + [("tokens", pa.binary())]
-    )
-
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for piece in slices(rows):
-                sets = [shingles(data, k) for data in texts_of(piece.column("text"))]
-                same = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                data = pa.array([s.tobytes() for s in sets], pa.binary())
-                out = [piece.column(n) for n in schema.names[:-1]] + [data]
-                yield pa.RecordBatch.from_arrays(out, schema=schema).filter(
-                    pa.array([a == b for a, b in zip(same, piece.column("fp").to_pylist())])
-                )
-
     pair = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        fps, inside, data = (rows.column(n).to_pylist() for n in ("fp", "inside", "tokens"))
-        once = list({f: i for i, f in enumerate(fps)}.values())
-        sets = [np.frombuffer(data[i], np.uint64) for i in once]
-        links = linked([fps[i] for i in once], sets, np.array([inside[i] for i in once]), per_cent)
+        sets, inside = {}, {}
+        for fp, own, data in zip(rows.column("fp").to_pylist(), rows.column("inside").to_pylist(), texts_of(rows.column("text"))):
+            if fp not in sets:
+                s = shingles(data, k)
+                if xxhash.xxh3_128_digest(s.tobytes()) != fp:  # another row of the same doc_id
+                    continue
+                sets[fp], inside[fp] = s, False
+            inside[fp] |= own
+        links = linked(list(sets), list(sets.values()), np.array(list(inside.values())), per_cent) if sets else []
         return pa.Table.from_batches([batch(pair, [[a for a, _ in links], [b for _, b in links]])], schema=pair)
 
-    loaded = texts.select("text", *schema.names[:-1]).mapInArrow(
-        load, "g long, i int, j int, fp binary, inside boolean, tokens binary"
-    )
-    return loaded.groupBy("g", "i", "j").applyInArrow(compare, "a binary, b binary")
+    # texts travel, not sets: they take less than half the room
+    rows = texts.select("g", "i", "j", "fp", "inside", "text")
+    return rows.groupBy("g", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def join(spark: SparkSession, docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
