@@ -5,9 +5,11 @@ groups of similar sets by their min-hash.  The matrix has a row per token and gr
 token union, with the number and sizes of the sets behind it.  Tokens are ordered from rare to common
 (by a counting sketch of fixed size over all documents), and a set whose overlap with a group's union
 reaches the threshold must meet it within its first n - need + 1 tokens; so those are what the matrix
-stores and what queries probe it with.  A group that a query meets is opened: there the whole overlap
-of the query and the union is bounded first, and only a query that reaches the bound is compared with
-the group's sets.  Groups with many rows are dealt out in pairs of bounded blocks.
+stores and what queries probe it with.  A group that a query meets is opened in two steps.  First
+by parity marks alone, whose differences bound the sets' differences from below: sets that no other
+of the group can link to by them go.  For the others the texts are fetched; the whole overlap of a
+query and the group's union is bounded, and only a query that reaches the bound is compared with the
+group's sets.  Groups with many rows are dealt out in pairs of bounded blocks.
 
 Shingles are compared by 64-bit hashes, classes by 128-bit ones.
 
@@ -108,17 +110,53 @@ def need(n: np.ndarray | int, per_cent: int) -> np.ndarray | int:
     return (per_cent * n + 99) // 100
 
 
+def most_apart(total: np.ndarray | int, per_cent: int) -> np.ndarray | int:
+    """The most elements that only one of two linked sets has, by the sum of their sizes."""
+    return total * (100 - per_cent) // (100 + per_cent)
+
+
+def parities(s: np.ndarray, per_cent: int) -> bytes:
+    """How many elements fall into each cell, modulo 2.  Two sets differ in at least as many elements as
+    their parities in cells; there are four times as many cells as linked sets may differ in, or more."""
+    bits = 1 << max(6, int(4 * most_apart(2 * len(s), per_cent)).bit_length())
+    cells = np.bincount((s >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(cells.astype(np.uint8)).tobytes()
+
+
+def likely(sizes: np.ndarray, marks: list[bytes], per_cent: int) -> np.ndarray:
+    """Which sets have another that the parities don't rule out as linked."""
+    keep = np.zeros(len(sizes), bool)
+    lengths = np.array([len(m) for m in marks])
+    wide = {n: np.flatnonzero(lengths == n) for n in np.unique(lengths)}
+    bits = {n: np.array([np.frombuffer(marks[i], np.uint8) for i in at]) for n, at in wide.items()}
+    for n, at in wide.items():
+        near = [(at, bits[n])]
+        for m in wide:  # cells fold by halves
+            if m > n:
+                near.append((wide[m], np.bitwise_xor.reduce(bits[m].reshape(len(wide[m]), m // n, n), axis=1)))
+        for other, cells in near:
+            cells = np.ascontiguousarray(cells).view(np.uint64)
+            own = np.ascontiguousarray(bits[n]).view(np.uint64)
+            for i, row in zip(at, own):
+                apart = np.bitwise_count(cells ^ row).sum(1, dtype=np.int64)
+                hit = (apart <= most_apart(sizes[i] + sizes[other], per_cent)) & (other != i)
+                if hit.any():
+                    keep[i] = True
+                    keep[other[hit]] = True
+    return keep
+
+
 def profiles(docs: DataFrame, k: int, per_cent: int, commonness: np.ndarray) -> DataFrame:
     """doc_id, n_shingles, class fingerprint, group, first tokens, of every row."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("grp", pa.int64())]
-        + [("tokens", pa.list_(pa.int64()))]
+        + [("tokens", pa.list_(pa.int64())), ("marks", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for piece in slices(rows):
-                sizes, fps, groups, firsts = [], [], [], []
+                sizes, fps, groups, firsts, marks = [], [], [], [], []
                 for data in texts_of(piece.column("text")):
                     s = shingles(data, k)
                     n = len(s)
@@ -128,10 +166,11 @@ def profiles(docs: DataFrame, k: int, per_cent: int, commonness: np.ndarray) ->
                     level = commonness[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     first = np.argsort(level, kind="stable")[: n - need(n, per_cent) + 1]
                     firsts.append(s[first].view(np.int64) if n else None)
-                yield batch(schema, [piece.column("doc_id"), sizes, fps, groups, firsts])
+                    marks.append(parities(s, per_cent) if n else None)
+                yield batch(schema, [piece.column("doc_id"), sizes, fps, groups, firsts, marks])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, fp binary, grp long, tokens array<long>"
+        run, "doc_id long, n_shingles long, fp binary, grp long, tokens array<long>, marks binary"
     )
 
 
@@ -192,17 +231,25 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, k: in
     met = cut(spark, met)
     opened = met.select("g").distinct()
     rows = (
-        classes.join(opened, classes.grp == opened.g).select("fp", "doc_id", "g", F.lit(True).alias("inside"))
+        classes.join(opened, classes.grp == opened.g).select("fp", "doc_id", "g", F.lit(True).alias("inside"), "n_shingles", "marks")
     ).unionByName(
-        met.where("g <> grp").join(classes.drop("grp"), "fp").select("fp", "doc_id", "g", F.lit(False).alias("inside"))
+        met.where("g <> grp").join(classes.drop("grp"), "fp").select("fp", "doc_id", "g", F.lit(False).alias("inside"), "n_shingles", "marks")
     )
     blocks = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(blocks.where("blocks > 1"), "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
-        "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "inside", "doc_id"
-    )
+        "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "inside", "doc_id",
+        "n_shingles", "marks",
+    )
+
+    def choose(key: tuple, rows: pa.Table) -> pa.Table:
+        keep = likely(rows.column("n_shingles").to_numpy(), rows.column("marks").to_pylist(), per_cent)
+        return rows.drop_columns(["n_shingles", "marks"]).filter(pa.array(keep))
+
+    rows = rows.groupBy("g", "i", "j").applyInArrow(choose, "g long, i int, j int, fp binary, inside boolean, doc_id long")
+    rows = cut(spark, rows)
     want = rows.withColumnRenamed("doc_id", "want")
     texts = docs.select("doc_id", "text").join(want, F.col("doc_id").eqNullSafe(F.col("want")))
     pair = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -231,7 +278,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, per_cent: int = 80) -
     classes = (
         rows.where("fp IS NOT NULL")
         .groupBy("fp")
-        .agg(F.min_by(F.struct("n_shingles", "grp", "tokens"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x"),
+        .agg(F.min_by(F.struct("n_shingles", "grp", "tokens", "marks"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x"),
              F.min("doc_id").alias("doc_id"))
         .select("fp", "doc_id", "x.*")
     )
