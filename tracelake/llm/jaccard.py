@@ -35,7 +35,7 @@ from tracelake.llm.components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TURN = np.uint64(0xD6E8FEB86659FD93)
-SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 16
+SKETCH_BITS, SKETCH_BLOCK = 22, 1 << 18
 BLOCK = 2048
 
 
@@ -69,7 +69,7 @@ def shingles(data: bytes, k: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Counts of all shingles in 2^20 cells: each task counts its own, and blocks of cells are then
+    """Counts of all shingles in 2^22 cells: each task counts its own, and blocks of cells are then
     added by at most 64 at a time, so no task holds more than a few MB however many there are."""
     schema = pa.schema([("block", pa.int32()), ("part", pa.int64()), ("counts", pa.binary())])
 
