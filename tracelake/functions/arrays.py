@@ -62,7 +62,7 @@ def downsample(x: Column, phase: int = 0, low: float | None = None, high: float
     def filtered(t: Column) -> Column:
         n = F.size(t)
         padded = F.concat(
-            F.reverse(F.slice(t, 2, half)), t, F.reverse(F.slice(t, n - half, half)), F.array(F.lit(0.0))
+            F.reverse(F.slice(t, 2, half)), t, F.reverse(F.slice(t, n - half + 1, half)), F.array(F.lit(0.0))
         )
 
         def at(k: Column) -> Column:

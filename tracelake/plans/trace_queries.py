@@ -73,7 +73,7 @@ _TAPS = "[" + ", ".join(f"{t}" for t in C.FIR_TAPS) + "]"
 
 def _fir_sql(p, phase):
     """The filter's definition, over the padded array."""
-    pad = f"list_reverse({p}[2:11]) || {p}[1:63] || list_reverse({p}[53:62]) || [0.0]"
+    pad = f"list_reverse({p}[2:11]) || {p}[1:63] || list_reverse({p}[54:63]) || [0.0]"
     return f"list_transform(range({phase}, 63, 3), lambda k: trunc(list_sum(list_transform(range(1, 22), lambda j: ({pad})[k + j] * ({_TAPS})[j])))::BIGINT >> 11)"
 
 
