@@ -71,22 +71,29 @@ def best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k:
     """Each query's k best of a candidate block: query ids, candidate ids, scores."""
     order = np.argsort(c_ids, kind="stable")
     c, c_ids = c[order], c_ids[order]
-    postings = [(rows := np.flatnonzero(c[:, d]), c[rows, d]) for d in range(c.shape[1])]
+    postings = []  # rows and weights; most rows: the whole column, where the zeros add nothing
+    for d in range(c.shape[1]):
+        rows = np.flatnonzero(c[:, d])
+        dense = 2 * len(rows) > len(c)
+        postings.append((None, c[:, d].copy()) if dense else (rows, c[rows, d]))
     out = []
     step = max(1, SCORES // max(1, len(c)))
     for at in range(0, len(q), step):
         some, ids = q[at : at + step].astype(np.int64), q_ids[at : at + step]
         most = int(np.abs(some).max(initial=0)) * int(np.abs(c).max(initial=0)) * max(1, c.shape[1])
         scores = np.zeros((len(some), len(c)), np.int32 if most < 2**31 else np.int64)
+        room = np.empty_like(scores)
         for d, (rows, weights) in enumerate(postings[: some.shape[1]]):
             having = np.flatnonzero(some[:, d])
-            if not len(having) or not len(rows):
+            if not len(having) or not len(weights):
                 continue
-            add = np.multiply.outer(some[having, d].astype(scores.dtype), weights.astype(scores.dtype))
-            if len(having) == len(some) and len(rows) == len(c):
-                scores += add
+            weights = weights.astype(scores.dtype)
+            if rows is None and 2 * len(having) > len(some):
+                np.multiply(some[:, d, None].astype(scores.dtype), weights, out=room)
+                scores += room
             else:
-                scores[np.ix_(having, rows)] += add
+                at = np.ix_(having, np.arange(len(c)) if rows is None else rows)
+                scores[at] += np.multiply.outer(some[having, d].astype(scores.dtype), weights)
         own = ids[:, None] == c_ids[None, :] if len(np.intersect1d(ids, c_ids)) else None
         if len(c) > 4 * k:
             low = scores if own is None else np.where(own, np.iinfo(scores.dtype).min, scores)
