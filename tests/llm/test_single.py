@@ -7,10 +7,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tracelake.llm import bpe, language, mixing, quality, topk, toxicity, warc, wavelet
+from tracelake.llm.chunks import Table
 
 DOCS = "note string, doc_id long, text string, source string, lang string, ids string, score string"
 ODD = [
@@ -71,6 +73,22 @@ def test_wavelet_files(spark):
     assert order == sorted(order) and len(got) == len(ODD) + 1
 
 
+def test_chunk_table_equals_the_library():
+    """Any white space beside symbols, digits, letters and contractions; known and unknown chunks."""
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        coder = wavelet.Coder(file.read())
+    r = random.Random(9)
+    marks = [" ", " ", "\n", "\n\n", "\r\n", "\t", "\u00a0", "\u3000", "\u200b", "\x01", "\x1c", "\x85", ".", ",", "'", "'s", "’", "_", "$$", "é", "ß", "a", "The", "1", "²", "x\u0301", "日", "\U0001f600"]
+    some = [["".join(r.choice(marks if r.random() < 0.5 else marks[:3] + marks[12:]) for _ in range(r.randint(0, 40))) for _ in range(300)] for _ in range(3)]
+    some.append([None, "", " ", "a " * 4000, *ODD])
+    for limit in (0, 50, 100_000):
+        table = Table(coder.encode, limit)
+        for texts in some:
+            want = [np.array(coder.coder.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+            assert table.packed(pa.array(texts, pa.string())) == want
+            assert table.packed(pa.array(texts[:0], pa.string())) == []
+
+
 def test_warc(spark):
     pages = [(None, None, "x"), (1, "http://a/", "same"), (2, "http://b/ c", "same"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 400_000), (6, "u", "x"), (6, "u", "x")]
     df = spark.createDataFrame([("n", *p) for p in pages], "data string, page_id long, url string, html string").repartition(3)

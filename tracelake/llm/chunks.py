@@ -4,11 +4,29 @@ A space between two characters that are not white space always starts a new pre-
 (no alternative goes on past it), so a text may be cut before each such space, and a chunk that was
 encoded once need not be encoded again.  Texts in which a space touches other white space are cut
 only where this holds.
+
+In the same way a pre-token never goes on from a letter or digit to a symbol or line end, from any
+character to a line end, or from a line end to what follows it, so texts can be cut there too; only
+the number of line ends before a word matters, so a run of them is never cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain, repeat
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+CUT = "\x01"
+#: Texts that are left to :func:`pieces_of`: other white space than single spaces and line ends, or the mark itself.
+UNEVEN = (
+    r"[ \n] |[\x01\t\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}"
+    r"\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+)
+AFTER_WORD = r"([\pL\pN])([!-&(-/:-@\[-`{-~\n])"
+LINE_END = r"([^ \n])\n([^ \n])"
 
 
 def pieces_of(text: str) -> list[str]:
@@ -45,3 +63,67 @@ class Memo(dict):
         if (room := self.limit - len(self)) > 0:
             self.update(x for x in list(fresh.items())[:room] if len(x[0]) <= self.longest)
         return out
+
+
+class Table:
+    """Chunk -> ids like :class:`Memo`, but whole columns of texts at a time.
+
+    Cutting and counting the distinct chunks is done by Arrow and putting ids in place by numpy, so
+    Python sees each distinct chunk of a batch once.  `encode` gets the chunks that aren't known and
+    returns ids, and where in them those of each chunk start and how many they are.
+    """
+
+    def __init__(
+        self,
+        encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]],
+        limit: int = 800_000,
+        longest: int = 64,
+    ):
+        self.encode, self.limit, self.longest = encode, limit, longest
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(0, np.uint32)
+        self.starts = self.lengths = np.zeros(0, np.int64)
+
+    def packed(self, texts: pa.Array) -> list[bytes]:
+        """The packed ids of each text; a null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
+        even = texts.filter(pa.array(~uneven))
+        even = pc.replace_substring_regex(even, AFTER_WORD, rf"\1{CUT}\2")
+        even = pc.replace_substring_regex(even, LINE_END, f"\\1{CUT}\n{CUT}\\2")
+        cut = pc.split_pattern(pc.replace_substring(even, " ", f"{CUT} "), CUT)
+        others = [pieces_of(text) for text in texts.filter(pa.array(uneven)).to_pylist()]
+        flat = pa.chunked_array([cut.flatten(), pa.array(chain.from_iterable(others), pa.large_string())])
+        counts = np.append(cut.value_lengths().to_numpy(zero_copy_only=False), [len(x) for x in others])
+        start, length, buffer, codes = self._chunks(flat.combine_chunks())
+        sizes = length[codes]
+        ends = np.append(0, np.cumsum(sizes))
+        at = np.arange(ends[-1]) + np.repeat(start[codes] - ends[:-1], sizes)
+        data = memoryview(buffer[at].astype("<u4").tobytes())
+        stops = 4 * ends[np.append(0, np.cumsum(counts.astype(np.int64)))]
+        out = [b""] * len(texts)
+        for i, a, b in zip(np.argsort(uneven, kind="stable").tolist(), stops.tolist(), stops[1:].tolist()):
+            out[i] = bytes(data[a:b])
+        return out
+
+    def _chunks(self, flat: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each distinct chunk its start and length in a buffer of ids, the buffer, and the chunks by number."""
+        coded = flat.dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        slots = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(slots < 0)
+        words = [chunks[i] for i in missing.tolist()]
+        ids, starts, lengths = self.encode(words)
+        starts = starts + len(self.ids)
+        slots[missing] = len(self.starts) + np.arange(len(words))
+        buffer = np.concatenate([self.ids, ids])
+        start = np.concatenate([self.starts, starts])[slots]
+        length = np.concatenate([self.lengths, lengths])[slots]
+        room = max(0, self.limit - len(self.starts))
+        if room and words:
+            keep = min(room, len(words))
+            first = len(self.starts)
+            self.known.update((w, first + i) for i, w in enumerate(words[:keep]) if len(w) <= self.longest)
+            self.starts, self.lengths = np.append(self.starts, starts[:keep]), np.append(self.lengths, lengths[:keep])
+            self.ids = buffer
+        return start, length, buffer, coded.indices.to_numpy(zero_copy_only=False)

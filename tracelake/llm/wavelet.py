@@ -17,6 +17,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.chunks import Memo
-from tracelake.llm.common import batch, cut, fan_out, new_folder, slices, texts_of
+from tracelake.llm.chunks import Table
+from tracelake.llm.common import batch, cut, fan_out, new_folder, slices
 
 MAGIC = b"WMTOK1\0\0"
 BLOCK = 512
@@ -138,24 +139,59 @@ class WaveletMatrix:
         return ids
 
 
-_MEMOS: dict[str, Memo] = {}
+class Coder:
+    """The library, called for many chunks at once.
 
+    Chunks that begin with a space and a character other than white space, and don't end in white
+    space, are encoded as one text: no pre-token goes on past their ends.  A token of the byte-level
+    alphabet has a character for each of its bytes, so the ids' lengths tell where each chunk ends.
+    """
 
-def _memo(vocabulary: str) -> Memo:
-    """The library encodes each new chunk; chunks never share a pre-token of its byte-level splitter."""
-    key = str(hash(vocabulary))
-    if key not in _MEMOS:
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_str(vocabulary)
-        coder.encode_special_tokens = True
+    JOINED = 4096
 
-        def encode(chunks: list[str]) -> list[bytes]:
-            found = coder.encode_batch_fast(chunks, add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
 
-        _MEMOS[key] = Memo(encode)
-    return _MEMOS[key]
+        self.coder = Tokenizer.from_str(vocabulary)
+        self.coder.encode_special_tokens = True
+        tokens = self.coder.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(tokens.values(), default=0) + 1, np.int64)
+        for token, i in tokens.items():
+            self.sizes[i] = len(token)
+
+    def _together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.coder.encode_batch_fast(["".join(chunks)], add_special_tokens=False)
+        ids = np.array(found[0].ids, np.uint32)
+        ends = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
+        return ids, np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), ends, "right"), prepend=0)
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each chunk start and how many they are."""
+        join = np.array([len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() for c in chunks], bool)
+        order = np.argsort(join, kind="stable")
+        alone = int(len(join) - join.sum())
+        found = [x.ids for x in self.coder.encode_batch_fast([chunks[i] for i in order[:alone]], add_special_tokens=False)]
+        counts = [np.fromiter(map(len, found), np.int64, alone)]
+        ids = [np.fromiter(chain.from_iterable(found), np.uint32, int(counts[0].sum()))]
+        for i in range(alone, len(chunks), self.JOINED):
+            more, count = self._together([chunks[j] for j in order[i : i + self.JOINED]])
+            ids.append(more)
+            counts.append(count)
+        lengths, starts = np.zeros((2, len(chunks)), np.int64)
+        lengths[order] = np.concatenate(counts)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return np.concatenate(ids), starts, lengths
+
+
+_TABLES: dict[str, Table] = {}
+
+
+def _table(vocabulary: str) -> Table:
+    """One table of chunks for each vocabulary and worker process."""
+    key = str(hash(vocabulary))
+    if key not in _TABLES:
+        _TABLES[key] = Table(Coder(vocabulary).encode)
+    return _TABLES[key]
 
 
 def write(
@@ -178,7 +214,7 @@ def write(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        memo, shard = _memo(vocabulary), TaskContext.get().partitionId()
+        table, shard = _table(vocabulary), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         part, held, sizes, doc_ids = 0, [], [0], []
 
@@ -196,9 +232,8 @@ def write(
 
         total = 0
         for rows in batches:
-            for piece in slices(rows):
-                texts = [data.decode() for data in texts_of(piece.column("text"))]
-                for doc_id, packed in zip(piece.column("doc_id").to_pylist(), memo.packed(texts)):
+            for piece in slices(rows, most=16 << 20):
+                for doc_id, packed in zip(piece.column("doc_id").to_pylist(), table.packed(piece.column("text"))):
                     held += [packed, end]
                     sizes.append(len(packed) // 4 + 1)
                     doc_ids.append(doc_id)
