@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tracelake.llm.chunks import Memo
-from tracelake.llm.common import batch, slices, texts_of
+from tracelake.llm.chunks import Table
+from tracelake.llm.common import slices
 
 WORD_BITS = 6
 MASK = (1 << WORD_BITS) - 1
@@ -85,7 +86,6 @@ class ByteBPE:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.words: dict[str, bytes] = {}
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)])
         self.pairs = {
             ranks[token[:i]] << SHIFT | ranks[token[i:]]: rank
@@ -102,8 +102,9 @@ class ByteBPE:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.merged[at], -1)
 
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Packed 32-bit ids of each pre-token.  All their lists share one queue; position n ends every list."""
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each pre-token start and how many they are.  All their lists
+        share one queue; position n ends every list."""
         queue, pair = self.queue, self.pairs.get
         lengths = np.array([len(w) for w in words])
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -167,34 +168,36 @@ class ByteBPE:
                         queue.push(rank, bucket)
                     break
         alive = np.append(0, np.cumsum(part[:n] >= 0))
-        packed = part[:n][part[:n] >= 0].astype("<u4").tobytes()
-        stops = (4 * alive[ends]).tolist()
-        return [packed[a:b] for a, b in zip([0, *stops], stops)]
-
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Packed 32-bit ids of each chunk."""
-        split = [self.split(chunk) for chunk in chunks]
-        known = self.words
-        missing = list({w for words in split for w in words if w not in known})
-        fresh = dict(zip(missing, self.encode_words([w.encode() for w in missing]))) if missing else {}
-        out = [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in split]
-        if (room := 400_000 - len(known)) > 0:
-            known.update((w, x) for w, x in list(fresh.items())[:room] if len(w) <= 64)
-        return out
+        starts = alive[ends - lengths]
+        return part[:n][part[:n] >= 0].astype(np.uint32), starts, alive[ends] - starts
+
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each chunk start and how many they are."""
+        numbers: dict[str, int] = {}
+        split = [[numbers.setdefault(w, len(numbers)) for w in self.split(chunk)] for chunk in chunks]
+        if not numbers:
+            return np.zeros(0, np.uint32), *np.zeros((2, len(chunks)), np.int64)
+        ids, starts, lengths = self.encode_words([w.encode() for w in numbers])
+        codes = np.fromiter(chain.from_iterable(split), np.int64)
+        sizes = lengths[codes]
+        ends = np.append(0, np.cumsum(sizes))
+        at = np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], sizes)
+        bounds = ends[np.append(0, np.cumsum(np.fromiter(map(len, split), np.int64, len(split))))]
+        return ids[at], bounds[:-1], np.diff(bounds)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_CODECS: dict[tuple[int, int, str], tuple[ByteBPE, Memo, list[str]]] = {}
+_CODECS: dict[tuple[int, int, str], tuple[ByteBPE, Table, list[str]]] = {}
 
 
-def _codec(ranks: dict[bytes, int], pattern: str) -> tuple[ByteBPE, Memo, list[str]]:
-    """One codec with its memo for each rank table and worker process."""
+def _codec(ranks: dict[bytes, int], pattern: str) -> tuple[ByteBPE, Table, list[str]]:
+    """One codec with its table of chunks for each rank table and worker process."""
     key = (len(ranks), hash(frozenset(ranks.items())), pattern)
     if key not in _CODECS:
         coder = ByteBPE(ranks, pattern)
-        _CODECS[key] = coder, Memo(coder.encode_chunks), [str(i) for i in range(max(ranks.values()) + 1)]
+        _CODECS[key] = coder, Table(coder.encode_chunks, limit=300_000), [str(i) for i in range(max(ranks.values()) + 1)]
     return _CODECS[key]
 
 
@@ -212,7 +215,8 @@ ENCODED = T.StructType(
 def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True) -> DataFrame:
     """A row per document: its ids (if asked for), their count, and digests of the ids and of their decoding.
 
-    The rank table is read on the driver and travels with the tasks; its size is that of the
+    `pattern` is that of the public tokenizers or another one under which the cuts of
+    :mod:`tracelake.llm.chunks` never divide a match.  The rank table is read on the driver and travels with the tasks; its size is that of the
     vocabulary, not of the data.  There is no shuffle, and memory is bounded by a batch of texts.
     """
     ranks = read_ranks(ranks_path)
@@ -224,18 +228,23 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, memo, decimal = _codec(ranks, pattern)
+        coder, table, decimal = _codec(ranks, pattern)
         for rows in batches:
-            for part in slices(rows):
-                out: list[list] = [[] for _ in arrow]
-                texts = [data.decode() for data in texts_of(part.column("text"))]
-                for doc_id, packed in zip(part.column("doc_id").to_pylist(), memo.packed(texts)):
-                    ids = np.frombuffer(packed, "<u4").tolist()
-                    row = [doc_id, *([ids] if with_ids else []), len(ids)]
-                    row.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                    row.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-                    for column, value in zip(out, row):
-                        column.append(value)
-                yield batch(arrow, out)
+            for part in slices(rows, most=4 << 20):
+                packed = table.packed(part.column("text"))
+                counts, of_ids, of_bytes = [], [], []
+                for data in packed:
+                    ids = np.frombuffer(data, "<u4").tolist()
+                    counts.append(len(ids))
+                    of_ids.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                    of_bytes.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+                out = [part.column("doc_id").cast(pa.int64())]
+                if with_ids:
+                    flat = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+                    stops = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+                    out.append(pa.ListArray.from_arrays(stops, flat, type=arrow.field("ids").type))
+                yield pa.RecordBatch.from_arrays(
+                    [*out, pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], schema=arrow
+                )
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -47,26 +47,9 @@ def pieces_of(text: str) -> list[str]:
     return out
 
 
-class Memo(dict):
-    """Chunk -> packed ids.  It stops to grow at `limit` entries, each of at most `longest` characters."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 300_000, longest: int = 64):
-        super().__init__()
-        self.encode, self.limit, self.longest = encode, limit, longest
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of whole texts."""
-        cut = [pieces_of(text) for text in texts]
-        missing = list({p for pieces in cut for p in pieces if p not in self})
-        fresh = dict(zip(missing, self.encode(missing))) if missing else {}
-        out = [b"".join([self[p] if p in self else fresh[p] for p in pieces]) for pieces in cut]
-        if (room := self.limit - len(self)) > 0:
-            self.update(x for x in list(fresh.items())[:room] if len(x[0]) <= self.longest)
-        return out
-
-
 class Table:
-    """Chunk -> ids like :class:`Memo`, but whole columns of texts at a time.
+    """Chunk -> ids, for whole columns of texts.  It stops to grow at `limit` chunks, each of at most
+    `longest` characters.
 
     Cutting and counting the distinct chunks is done by Arrow and putting ids in place by numpy, so
     Python sees each distinct chunk of a batch once.  `encode` gets the chunks that aren't known and
