@@ -197,7 +197,7 @@ def _codec(ranks: dict[bytes, int], pattern: str) -> tuple[ByteBPE, Table, list[
     key = (len(ranks), hash(frozenset(ranks.items())), pattern)
     if key not in _CODECS:
         coder = ByteBPE(ranks, pattern)
-        _CODECS[key] = coder, Table(coder.encode_chunks, limit=300_000), [str(i) for i in range(max(ranks.values()) + 1)]
+        _CODECS[key] = coder, Table(coder.encode_chunks, limit=150_000), [str(i) for i in range(max(ranks.values()) + 1)]
     return _CODECS[key]
 
 

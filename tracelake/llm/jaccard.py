@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import batch, cut, slices, texts_of
+from tracelake.llm.common import batch, cut, give_back, slices, texts_of
 from tracelake.llm.components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -44,7 +44,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 100_000:
             self[word] = value
         return value
 
@@ -254,7 +254,7 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, k: in
     texts = docs.select("doc_id", "text").join(want, F.col("doc_id").eqNullSafe(F.col("want")))
     pair = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
-    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+    def connect(rows: pa.Table) -> list[tuple[bytes, bytes]]:
         sets, inside = {}, {}
         for fp, own, data in zip(rows.column("fp").to_pylist(), rows.column("inside").to_pylist(), texts_of(rows.column("text"))):
             if fp not in sets:
@@ -263,7 +263,12 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, k: in
                     continue
                 sets[fp], inside[fp] = s, False
             inside[fp] |= own
-        links = linked(list(sets), list(sets.values()), np.array(list(inside.values())), per_cent) if sets else []
+        return linked(list(sets), list(sets.values()), np.array(list(inside.values())), per_cent) if sets else []
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        links = connect(rows)
+        if rows.nbytes > 1 << 21:
+            give_back()
         return pa.Table.from_batches([batch(pair, [[a for a, _ in links], [b for _, b in links]])], schema=pair)
 
     # texts travel, not sets: they take less than half the room
