@@ -89,6 +89,27 @@ def test_chunk_table_equals_the_library():
             assert table.packed(pa.array(texts[:0], pa.string())) == []
 
 
+def test_op8_finds_added_tokens(spark, tmp_path):
+    """The query's ids are those of the unmodified library."""
+    from tokenizers import Tokenizer
+
+    from tracelake.llm.queries import QUERIES
+
+    coder = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = ODD + ["a <|endoftext|> b", end, f"{end}{end} x", f" a b {end}c\n{end} ", f"x\t{end}\u3000", "<|endof text|>", "<|endoftext|", f" word{end}"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op8_wavelet"](spark, str(tmp_path)).orderBy("start").collect()
+    at = 0
+    for row in got:
+        assert row.start == at
+        at += row.n_tokens
+        if row.doc_id is not None:
+            ids = coder.encode(texts[row.doc_id] or "", add_special_tokens=False).ids + [0]
+            assert (row.n_tokens, row.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert len(got) == len(texts) + 1 and coder.encode(texts[len(ODD)], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def test_warc(spark):
     pages = [(None, None, "x"), (1, "http://a/", "same"), (2, "http://b/ c", "same"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 400_000), (6, "u", "x"), (6, "u", "x")]
     df = spark.createDataFrame([("n", *p) for p in pages], "data string, page_id long, url string, html string").repartition(3)

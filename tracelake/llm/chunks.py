@@ -8,11 +8,13 @@ only where this holds.
 In the same way a pre-token never goes on from a letter or digit to a symbol or line end, from any
 character to a line end, or from a line end to what follows it, so texts can be cut there too; only
 the number of line ends before a word matters, so a run of them is never cut.
+
+A text with the literal of an added token isn't cut at all: the library finds the token in the whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from itertools import chain, repeat
 
 import numpy as np
@@ -61,8 +63,9 @@ class Table:
         encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]],
         limit: int = 800_000,
         longest: int = 64,
+        literals: Sequence[str] = (),
     ):
-        self.encode, self.limit, self.longest = encode, limit, longest
+        self.encode, self.limit, self.longest, self.literals = encode, limit, longest, literals
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.starts = self.lengths = np.zeros(0, np.int64)
@@ -70,12 +73,15 @@ class Table:
     def packed(self, texts: pa.Array) -> list[bytes]:
         """The packed ids of each text; a null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
+        whole = np.zeros(len(texts), bool)
+        for literal in self.literals:
+            whole |= pc.match_substring(texts, literal).to_numpy(zero_copy_only=False)
+        uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False) | whole
         even = texts.filter(pa.array(~uneven))
         even = pc.replace_substring_regex(even, AFTER_WORD, rf"\1{CUT}\2")
         even = pc.replace_substring_regex(even, LINE_END, f"\\1{CUT}\n{CUT}\\2")
         cut = pc.split_pattern(pc.replace_substring(even, " ", f"{CUT} "), CUT)
-        others = [pieces_of(text) for text in texts.filter(pa.array(uneven)).to_pylist()]
+        others = [[t] if w else pieces_of(t) for t, w in zip(texts.filter(pa.array(uneven)).to_pylist(), whole[uneven])]
         flat = pa.chunked_array([cut.flatten(), pa.array(chain.from_iterable(others), pa.large_string())])
         counts = np.append(cut.value_lengths().to_numpy(zero_copy_only=False), [len(x) for x in others])
         start, length, buffer, codes = self._chunks(flat.combine_chunks())

@@ -46,7 +46,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return wavelet.read(spark, wavelet.write(spark, docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return wavelet.read(spark, wavelet.write(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

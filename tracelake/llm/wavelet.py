@@ -6,7 +6,8 @@ byte, the count of ones before each block of 512 bits, and the plane's count of
 are little-endian.  A plane's bits stand in the order that stably sorting by the higher planes' bits
 leaves.  Access, count and occurrence need the planes only; nothing is unpacked for them.
 
-Cases: a null or empty text is the end id alone; a null doc_id sorts before all others; rows that
+Cases: the literal of an added token is that token with `added_tokens`, and text like any other without;
+a null or empty text is the end id alone; a null doc_id sorts before all others; rows that
 repeat a doc_id are documents of their own, in the order of their texts; an empty table gives no
 files; other columns are not looked at.
 """
@@ -145,15 +146,19 @@ class Coder:
     Chunks that begin with a space and a character other than white space, and don't end in white
     space, are encoded as one text: no pre-token goes on past their ends.  A token of the byte-level
     alphabet has a character for each of its bytes, so the ids' lengths tell where each chunk ends.
+    With `added_tokens` the library looks for those in the text, as it does by default; chunks with the
+    literal of one are encoded alone.
     """
 
     JOINED = 4096
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_str(vocabulary)
-        self.coder.encode_special_tokens = True
+        self.coder.encode_special_tokens = not added_tokens
+        self.literals = [t.content for t in self.coder.get_added_tokens_decoder().values()] if added_tokens else []
+        self.spaced = any(c.isspace() for t in self.literals for c in t)  # joining chunks could make one of these
         tokens = self.coder.get_vocab(with_added_tokens=False)
         self.sizes = np.zeros(max(tokens.values(), default=0) + 1, np.int64)
         for token, i in tokens.items():
@@ -168,6 +173,8 @@ class Coder:
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and where in them those of each chunk start and how many they are."""
         join = np.array([len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() for c in chunks], bool)
+        for literal in self.literals:
+            join &= np.array([not self.spaced and literal not in c for c in chunks], bool)
         order = np.argsort(join, kind="stable")
         alone = int(len(join) - join.sum())
         found = [x.ids for x in self.coder.encode_batch_fast([chunks[i] for i in order[:alone]], add_special_tokens=False)]
@@ -186,19 +193,23 @@ class Coder:
 _TABLES: dict[str, Table] = {}
 
 
-def _table(vocabulary: str) -> Table:
+def _table(vocabulary: str, added_tokens: bool) -> Table:
     """One table of chunks for each vocabulary and worker process."""
-    key = str(hash(vocabulary))
+    key = f"{hash(vocabulary)} {added_tokens}"
     if key not in _TABLES:
-        _TABLES[key] = Table(Coder(vocabulary).encode)
+        coder = Coder(vocabulary, added_tokens)
+        _TABLES[key] = Table(coder.encode, literals=coder.literals)
     return _TABLES[key]
 
 
 def write(
-    spark: SparkSession, docs: DataFrame, vocabulary_path: str, end_id: int = 0, most_tokens: int = 1 << 24
-) -> DataFrame:
+    spark: SparkSession, docs: DataFrame, vocabulary_path: str, end_id: int = 0, most_tokens: int = 1 << 24,
+    added_tokens: bool = False,
+) -> DataFrame:
     """Write the shards and return their manifest: shard, part, path, n_tokens.
 
+    With `added_tokens` the ids are those of the unmodified library with add_special_tokens=False.
+
     Documents are range-partitioned by doc_id (sampled splitters), so a shard holds a run of ids and
     shard numbers ascend with them; a shard of over `most_tokens` tokens continues in further files.
     A task writes to names of its own and only what the manifest lists is read, so a task that runs
@@ -214,7 +225,7 @@ def write(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        table, shard = _table(vocabulary), TaskContext.get().partitionId()
+        table, shard = _table(vocabulary, added_tokens), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         part, held, sizes, doc_ids = 0, [], [0], []
 
