@@ -21,16 +21,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest id."""
-    found = jaccard.join(spark, docs, k=5, per_cent=80)
-    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("stays")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
-    return kept if _unique(found) else kept.dropDuplicates(["doc_id"])
-
-
-def _unique(found: DataFrame) -> bool:
-    """Whether each doc_id stands for one row."""
-    return not found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    """One document of each group of near copies stays: that of the smallest id.  Documents that are like
+    no other stay, whatever ids they share."""
+    return jaccard.survivors(spark, docs, k=5, per_cent=80)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

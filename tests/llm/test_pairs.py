@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tests.llm.brute import jaccard, repeats
+from tests.llm.brute import jaccard, repeats, shingle_set
 from tracelake.llm import jaccard as J
 from tracelake.llm import suffixes as S
 
@@ -39,6 +39,43 @@ def test_join_equals_brute_force(spark, k, per_cent, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == jaccard(rows + [(3, rows[9][1])] * 2, k, per_cent)
 
 
+def stage_kept(rows, k=5, per_cent=80):
+    """(doc_id, text) rows -> those that the pipeline's stage keeps, but which of equal shingles."""
+    sets, groups = [shingle_set(t, k) for _, t in rows], []
+    for i, s in enumerate(sets):
+        near = [g for g in groups if any(s and sets[j] and 100 * len(s & sets[j]) >= per_cent * len(s | sets[j]) for j in g)]
+        groups = [g for g in groups if g not in near] + [sum(near, [i])]
+    return groups
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Repeated and null ids: every group of near copies keeps a row of its least id, every other row stays."""
+    import corpus_pipeline
+
+    def check(rows, parts):
+        df = spark.createDataFrame([("n", d, t, "x") for d, t in rows], SCHEMA).repartition(parts)
+        kept = corpus_pipeline.near_duplicates(spark, df, "")
+        assert kept.columns == df.columns
+        got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+        left = list(got)
+        for g in stage_kept(rows):
+            ids = [rows[i][0] for i in g]
+            least = min((d for d in ids if d is not None), default=None)
+            found = next(rows[i] for i in g if rows[i][0] == least and rows[i] in left)
+            left.remove(found)
+        assert not left
+        return got
+
+    long = [(d, t) for d, t in corpus(6) if d is not None]
+    ids = [None, None, None, 5, 5, 5, 5, 90, 90, 7]
+    rows = [(ids[i % len(ids)], t) for i, (_, t) in enumerate(long)]
+    rows += [(5, rows[7][1]), (7, rows[3][1]), (None, ""), (None, ""), (5, None), (5, "")]
+    assert check(rows, 5) == check(rows[::-1], 3)
+    check(long, 4)
+    apart = [(None, "one two three four five six"), (None, "seven eight nine ten eleven twelve"), (4, "a b c d e f g"), (4, "h i j k l m n")]
+    assert check(apart, 2) == sorted(apart, key=str)
+
+
 def test_join_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 4)
     rows = corpus(11)

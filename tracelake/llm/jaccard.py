@@ -29,6 +29,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tracelake.llm.common import batch, cut, give_back, slices, texts_of
 from tracelake.llm.components import components
@@ -276,8 +277,9 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, k: in
     return rows.groupBy("g", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
-def join(spark: SparkSession, docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: documents link when 100 |A and B| >= per_cent |A or B|."""
+def grouped(spark: SparkSession, docs: DataFrame, k: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, fp of every row; and fp, doc_id (the least), label of every class: classes of one component
+    have one label, whatever ids their rows have."""
     common = sketch(docs, k)
     rows = cut(spark, profiles(docs, k, per_cent, common))
     classes = (
@@ -291,9 +293,48 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, per_cent: int = 80) -
     links = cut(spark, link_classes(spark, docs, classes, k, per_cent))
     labels = components(spark, links)
     of = classes.select("fp", "doc_id").join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-    of = of.select("fp", "doc_id", F.coalesce("label", "fp").alias("label"))
+    return rows.select("doc_id", "n_shingles", "fp"), of.select("fp", "doc_id", F.coalesce("label", "fp").alias("label"))
+
+
+def join(spark: SparkSession, docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: documents link when 100 |A and B| >= per_cent |A or B|."""
+    return named(*grouped(spark, docs, k, per_cent))
+
+
+def named(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """The join's result from what :func:`grouped` gives."""
     least = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     names = of.select("fp", "label").join(least, "label").select("fp", "component_id")
-    return rows.select("doc_id", "n_shingles", "fp").join(names, "fp", "left").select(
+    return rows.join(names, "fp", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def fingerprinted(docs: DataFrame, k: int, name: str) -> DataFrame:
+    """The rows with their class fingerprint, null for those without words, in a column of that name."""
+    names = [*docs.columns, name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for piece in slices(rows):
+                sets = [shingles(data, k) for data in texts_of(piece.column("text"))]
+                fps = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(fps, pa.binary())], names=names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+
+
+def survivors(spark: SparkSession, docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
+    """One row of each component: that of the least doc_id (null is the largest), then of the least fingerprint, then
+    the least in all columns.  Rows that link with nothing all stay, whatever ids they share."""
+    rows, of = grouped(spark, docs, k, per_cent)
+    if not rows.groupBy("doc_id").count().where("count > 1").limit(1).count():  # each doc_id stands for one row
+        stay = named(rows, of).where("doc_id <=> component_id").select(F.col("doc_id").alias("stays"))
+        return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "fp")
+    stay = of.groupBy("label").agg(F.min_by(F.struct("doc_id", "fp"), first).alias("x")).select("x.*")
+    marked = fingerprinted(docs, k, "_fp")
+    stay = stay.select(F.col("doc_id").alias("stays"), "fp")
+    kept = marked.join(stay, (F.col("_fp") == F.col("fp")) & F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    kept = kept.groupBy("_fp").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
+    return kept.unionByName(marked.where("_fp IS NULL").drop("_fp"))
