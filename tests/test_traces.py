@@ -1,3 +1,4 @@
+import collections
 import math
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelake import config as C
 from tracelake.functions import arrays as A
 from tracelake.operators import fits, metrics, sampling, triggers, windows
+from tracelake.queries import QUERIES
 from tracelake.sources import traces as sources
 
 SCHEMA = "station int, p1 array<double>, p2 array<double>, p3 array<double>"
@@ -82,6 +84,16 @@ def test_lateral_fit(spark):
     assert abs(got.efficiency - 0.9) < 1e-3 and abs(got.p50 - 40) < 1e-2 and abs(got.width + 8) < 1e-2
 
 
+def test_hits_and_misses_over_all_orders(spark, small):
+    read = lambda name, *cols: [tuple(r) for r in spark.read.parquet(f"{small}/{name}.parquet").select(*cols).collect()]
+    bins, hits = dict(read("supplier", "s_suppkey", "s_nationkey")), collections.Counter()
+    for order, supplier in set(read("lineitem", "l_orderkey", "l_suppkey")):
+        hits[order, bins.get(supplier)] += 1
+    n = collections.Counter(bins.values())
+    want = sorted((o, b, hits[o, b], n[b] - hits[o, b]) for (o,) in read("orders", "o_orderkey") for b in n)
+    assert sorted(map(tuple, QUERIES["hits_and_misses_all"](spark, small).collect())) == want
+
+
 def test_station_files(spark, tmp_path):
     good = "\n".join("7 500 1e18 33.5 1 2 3 " + " ".join(str(p * 10 + i) for i in range(n)) for p, n in ((1, 4), (2, 4), (3, 4)))
     bad = "8 600 1e18 33.5 1 2 3 1\n9 600 1e18 33.5 1 2 3 1\n8 600 1e18 33.5 1 2 3 1"

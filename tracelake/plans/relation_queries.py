@@ -23,6 +23,17 @@ def hits_and_misses(spark, sf_dir):
     return joins.hits_and_misses(o, s, p.join(o, "event", "left_semi"), "event", "station", F.col("x"))
 
 
+@query("""WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), t AS (SELECT s_nationkey AS bin, count(*) AS n FROM supplier GROUP BY 1),
+h AS (SELECT l_orderkey, s_nationkey AS bin, count(*) AS hits FROM p JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)
+SELECT o_orderkey AS event, t.bin, coalesce(hits, 0) AS hits, n - coalesce(hits, 0) AS misses FROM orders CROSS JOIN t LEFT JOIN h ON h.l_orderkey = o_orderkey AND h.bin = t.bin""")
+def hits_and_misses_all(spark, sf_dir):
+    """Like hits_and_misses, over all orders and suppliers."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("station"), F.col("s_nationkey").alias("x"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event"))
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_suppkey").alias("station"))
+    return joins.hits_and_misses(o, s, p, "event", "station", F.col("x"))
+
+
 _FIT = "(VALUES (0, 0, 0.9, 30.0, 4.0), (1, 0, 0.8, 25.0, 3.0), (1, 1, 0.95, 20.0, 5.0), (2, 1, 1.0, 28.0, 2.0)) f(e, t, eff, p50, width)"
 
 
