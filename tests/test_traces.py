@@ -94,6 +94,21 @@ def test_hits_and_misses_over_all_orders(spark, small):
     assert sorted(map(tuple, QUERIES["hits_and_misses_all"](spark, small).collect())) == want
 
 
+def test_stream_dead_time_over_many_files(spark, tmp_path):
+    """Files that overlap in time, more than 50 of them."""
+    rows = [(i, i % 3, i * 7919 % 900 * 1000, 30.0) for i in range(900)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, s long, value double")
+    df.selectExpr("event_id", "user_id", "timestamp_seconds(s) ts", "value").repartition(70).write.parquet(f"{tmp_path}/events.parquet")
+    want = []
+    for user in range(3):
+        last = None
+        for at in sorted(s for _, u, s, _ in rows if u == user):
+            if last is None or at > last + 43200:
+                want.append((user, at))
+                last = at
+    assert sorted(map(tuple, QUERIES["stream_dead_time"](spark, str(tmp_path)).collect())) == want
+
+
 def test_station_files(spark, tmp_path):
     good = "\n".join("7 500 1e18 33.5 1 2 3 " + " ".join(str(p * 10 + i) for i in range(n)) for p, n in ((1, 4), (2, 4), (3, 4)))
     bad = "8 600 1e18 33.5 1 2 3 1\n9 600 1e18 33.5 1 2 3 1\n8 600 1e18 33.5 1 2 3 1"
