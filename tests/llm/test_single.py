@@ -192,6 +192,22 @@ def test_topk(spark):
             assert got[i] == want
 
 
+def test_topk_of_large_components(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in r.integers(-(1 << 22), 1 << 22, 3)]) for i in range(60)]
+    rows += [(60 + i, [float((-1) ** i * 2**25), float(i), 0.0]) for i in range(60)] + [(200, [float(2**50), 1.0, 0.0]), (220, [0.0, 2.0**25, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    use = [(i, [int(64 * x) for x in v]) for i, v in rows if i != 200]
+    for row in topk.top_k(spark, df.where("vec_id <> 200"), "id % 20 = 0", k=5).orderBy("query_id", "rank").collect():
+        got[row.query_id].append((-row.score, row.vec_id))
+    for i, q in use:
+        if i % 20 == 0:
+            assert got[i] == sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in use if j != i)[:5]
+    alone = topk.top_k(spark, df.where("vec_id IN (200, 220)"), "id = 200", k=5).collect()
+    assert [(r.vec_id, r.score) for r in alone] == [(220, 2**37)]
+
+
 def test_models_take_odd_rows(spark):
     df = docs(spark)
     labels = spark.createDataFrame([(i, int(i % 2), None) for i in range(12)], "doc_id long, toxic int, quality int")

@@ -9,7 +9,8 @@ the blocks' lists are merged by rank.
 
 Cases: null vectors and those with null or non-finite components take no part; nor do rows with a
 null id; vectors may differ in length (a missing component is 0); rows that repeat an id are
-candidates of their own but never one another's; fewer than k candidates give shorter lists; an empty
+candidates of their own but never one another's; fewer than k candidates give shorter lists; components and
+scores have 64 bits, and one that doesn't fit fails; an empty
 table gives an empty result; other columns are not looked at.
 """
 
@@ -29,15 +30,15 @@ SCORES = 1 << 18  # cells of the score array
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """id and array<int> of floor(scale * x) of the vectors that take part."""
+    """id and array<long> of floor(scale * x) of the vectors that take part; a component beyond 64 bits fails."""
     v = F.col(vector_col).cast("array<double>")
     v = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     v = v.where("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf'))")
-    return v.select("id", F.expr(f"transform(v, x -> cast(floor({scale} * x) as int))").alias("q"))
+    return v.select("id", F.expr(f"transform(v, x -> if(abs({scale} * x) < 9223372036854775807D, floor({scale} * x), raise_error('component beyond 64 bits')))").alias("q"))
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """Blocks of up to BLOCK vectors in one row: n, width, ids, data (int32, row by row)."""
+    """Blocks of up to BLOCK vectors in one row: n, width, ids, data (row by row, int32 if all fit, else int64)."""
     schema = pa.schema([("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,8 +48,10 @@ def packed(rows: DataFrame) -> DataFrame:
             q = some.column("q").combine_chunks()
             sizes = np.diff(q.offsets.to_numpy())
             width = int(sizes.max(initial=0))
-            data = np.zeros((len(sizes), width), np.int32)
+            data = np.zeros((len(sizes), width), np.int64)
             data[np.arange(width) < sizes[:, None]] = q.flatten().to_numpy()
+            if peak(data) < 2**31:
+                data = data.astype(np.int32)
             ids = some.column("id").to_numpy().astype("<i8")
             return pa.RecordBatch.from_pylist(
                 [{"n": len(sizes), "width": width, "ids": ids.tobytes(), "data": data.tobytes()}], schema=schema
@@ -67,6 +70,11 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "n int, width int, ids binary, data binary")
 
 
+def peak(x: np.ndarray) -> int:
+    """The largest absolute value."""
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
 def best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """Each query's k best of a candidate block: query ids, candidate ids, scores."""
     order = np.argsort(c_ids, kind="stable")
@@ -80,8 +88,8 @@ def best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k:
     step = max(1, SCORES // max(1, len(c)))
     for at in range(0, len(q), step):
         some, ids = q[at : at + step].astype(np.int64), q_ids[at : at + step]
-        most = int(np.abs(some).max(initial=0)) * int(np.abs(c).max(initial=0)) * max(1, c.shape[1])
-        scores = np.zeros((len(some), len(c)), np.int32 if most < 2**31 else np.int64)
+        most = peak(some) * peak(c) * max(1, c.shape[1])  # beyond 64 bits: Python's integers
+        scores = np.zeros((len(some), len(c)), np.int32 if most < 2**31 else np.int64 if most < 2**63 else object)
         room = np.empty_like(scores)
         for d, (rows, weights) in enumerate(postings[: some.shape[1]]):
             having = np.flatnonzero(some[:, d])
@@ -96,7 +104,7 @@ def best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k:
                 scores[at] += np.multiply.outer(some[having, d].astype(scores.dtype), weights)
         own = ids[:, None] == c_ids[None, :] if len(np.intersect1d(ids, c_ids)) else None
         if len(c) > 4 * k:
-            low = scores if own is None else np.where(own, np.iinfo(scores.dtype).min, scores)
+            low = scores if own is None else np.where(own, np.array(-most - 1, scores.dtype), scores)
             cut_at = np.partition(low, len(c) - k, axis=1)[:, len(c) - k]
             keep = low >= cut_at[:, None]
         else:
@@ -135,7 +143,8 @@ def top_k(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.to_pylist():
-                shape = lambda p: np.frombuffer(x[p + "data"], np.int32).reshape(x[p + "n"], x[p + "width"])  # noqa: E731, B023
+                kind = lambda p: np.int32 if len(x[p + "data"]) == 4 * x[p + "n"] * x[p + "width"] else np.int64  # noqa: E731, B023
+                shape = lambda p: np.frombuffer(x[p + "data"], kind(p)).reshape(x[p + "n"], x[p + "width"])  # noqa: E731, B023
                 ids = lambda p: np.frombuffer(x[p + "ids"], "<i8")  # noqa: E731, B023
                 found = best(shape("q_"), ids("q_"), shape(""), ids(""), k)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in found], schema=schema)
