@@ -6,7 +6,7 @@ bytes, the seed of GRAM bytes with the least hash (leftmost, if several) marks o
 anchor; equal windows have their anchors at the same place.  So suffixes start at anchors, one in
 about thirty positions, and an anchor whose seed occurs once (counted over all documents) can't be in
 a repeat and is dropped.  What is left is range-partitioned by the leading bytes with splitters from
-a sample, sorted by multikey quicksort (a word of eight bytes at a time, going on within ties) with
+a sample, sorted level by level (stably, a word of eight bytes at a time, going on within ties) with
 the bytes to the right of the anchor first and those to the left after them, and neighbours are
 compared.  Equal leading words always fall in one bucket, so what matches never lies across a boundary
 of buckets except within a tie of the splitting word, and that isn't split.
