@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,13 +18,19 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Folders that this process has made, for :func:`clean_up`.
+_FOLDERS: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the cluster names none."""
+    """The folder that all executors share.  Where the cluster names none, a temporary one is made in local
+    mode; elsewhere that would be another folder on each machine, so it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tracelake-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -31,8 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def _tidy(spark: SparkSession) -> Iterator[None]:
-    """Drop a query's shuffle files as it ends: what it made is then in the shared folder."""
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Drop a query's shuffle files as it ends: what it made is then in the shared folder or on the driver."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name, None)
     spark.conf.set(name, "true")
@@ -45,39 +52,80 @@ def _tidy(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
-def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and cut the lineage there."""
-    shared_dir(spark)
-    with _tidy(spark):
-        return df.checkpoint()
+def new_folder(spark: SparkSession, name: str) -> str:
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.add(folder)
+    return folder
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _FOLDERS.discard(folder)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that the operators have left in the shared folder: for callers that have written their
+    results elsewhere.  What an operator returned can't be read any more after this."""
+    for folder in list(_FOLDERS):
+        remove(spark, folder)
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Like :func:`cut`, as a compressed columnar table, for wide rows."""
+def cut(spark: SparkSession, df: DataFrame, name: str = "cut") -> DataFrame:
+    """Materialise in the shared folder as a compressed columnar table, and cut the lineage there."""
     path = new_folder(spark, name)
-    with _tidy(spark):
+    with tidy(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tracelake_folder = path
+    return out
+
+
+#: The same by the name that whole stages use.
+stored = cut
+
+
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables made by :func:`cut` that nothing reads any more."""
+    for df in tables:
+        remove(spark, df._tracelake_folder)
 
 
 def fan_out(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The table in as many partitions as there are cores, if its files give fewer (a file of one row
+    group is one task); larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name, or one like it that no column of the tables has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: str | Column) -> Column:
     """True where crc32 of the decimal doc_id leaves remainder 1 modulo 3."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(col.cast("string")) % 3 == 1, F.lit(False))
 
 
+def row_key() -> Column:
+    """64 bits that tell rows of the same or null doc_id apart by their texts."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """The column's values as UTF-8, a null as empty."""
     for value in column.cast(pa.binary()) if len(column) else ():
@@ -88,6 +136,30 @@ def batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def runs(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """A table for each run of rows with equal integers in the columns `names`, however the rows are cut
+    into batches: groups of a sorted partition, one at a time."""
+    held: list[pa.RecordBatch] = []
+    last: tuple = ()
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        keys = [rows.column(n).to_numpy(zero_copy_only=False) for n in names]
+        change = np.zeros(rows.num_rows - 1, bool)
+        for k in keys:
+            change |= k[1:] != k[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), rows.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(k[a] for k in keys)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(rows.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers live on, several to an executor, beside a full heap."""
     pa.default_memory_pool().release_unused()
