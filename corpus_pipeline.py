@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows it gets; run() writes each stage's rows
 to the shared folder and reads them again.  All but the last return the columns of `documents`.
+
+Cases: a document with a null or empty text is like no other and holds no passage, so it passes the first three
+stages, and is never drawn by the mixture; null and repeated doc_ids stand for as many documents as they have rows;
+rows that are equal in doc_id and text are copies of each other; further columns are carried along, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,13 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import bpe, jaccard, mixing, suffixes, toxicity
-from tracelake.llm.common import stored, table
+from tracelake.llm.common import drop, fresh, spread, stored, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, keep=True).where("predicted = 0").select(*docs.columns)
+    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +33,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of repeated passages go; documents of which nothing is left go too.  Where a cut falls
     inside a character, its remaining bytes go as well."""
-    marked = docs.withColumn("whole", F.when(F.col("text").isNotNull(), True))
-    kept = suffixes.removed(spark, marked, length=100, keep_text=True)
-    kept = kept.where("n_bytes = 0 OR n_removed < n_bytes").withColumn("text", F.when(F.col("whole").isNotNull(), F.col("kept")))
+    gone = fresh("gone", docs)
+    kept = suffixes.cleaned(spark, docs, length=100, gone=gone)
+    kept = kept.where(f"{gone} IS NULL OR {gone} = 0 OR text <> ''")
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return kept.drop(gone)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +65,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(spark, stage(spark, docs, sf_dir), name)
+    docs = spread(table(spark, sf_dir, "documents"))
+    for n, (name, stage) in enumerate(STAGES):
+        before, docs = docs, stored(spark, stage(spark, docs, sf_dir), name)
+        if n:
+            drop(spark, before)
     return docs

@@ -50,8 +50,8 @@ def pieces_of(text: str) -> list[str]:
 
 
 class Table:
-    """Chunk -> ids, for whole columns of texts.  It stops to grow at `limit` chunks, each of at most
-    `longest` characters.
+    """Chunk -> ids, for whole columns of texts.  It remembers `limit` chunks, each of at most `longest` characters,
+    and their ids only, in room that is made once: so its size is bounded whatever the texts are.
 
     Cutting and counting the distinct chunks is done by Arrow and putting ids in place by numpy, so
     Python sees each distinct chunk of a batch once.  `encode` gets the chunks that aren't known and
@@ -68,7 +68,12 @@ class Table:
         self.encode, self.limit, self.longest, self.literals = encode, limit, longest, literals
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
-        self.starts = self.lengths = np.zeros(0, np.int64)
+        self.starts, self.lengths = np.zeros((2, max(1, limit)), np.int64)
+        self.used = 0  # of ids
+
+    def held(self) -> int:
+        """Bytes of the remembered ids."""
+        return self.ids.nbytes
 
     def packed(self, texts: pa.Array) -> list[bytes]:
         """The packed ids of each text; a null counts as empty."""
@@ -103,16 +108,30 @@ class Table:
         missing = np.flatnonzero(slots < 0)
         words = [chunks[i] for i in missing.tolist()]
         ids, starts, lengths = self.encode(words)
-        starts = starts + len(self.ids)
-        slots[missing] = len(self.starts) + np.arange(len(words))
-        buffer = np.concatenate([self.ids, ids])
-        start = np.concatenate([self.starts, starts])[slots]
-        length = np.concatenate([self.lengths, lengths])[slots]
-        room = max(0, self.limit - len(self.starts))
-        if room and words:
-            keep = min(room, len(words))
-            first = len(self.starts)
-            self.known.update((w, first + i) for i, w in enumerate(words[:keep]) if len(w) <= self.longest)
-            self.starts, self.lengths = np.append(self.starts, starts[:keep]), np.append(self.lengths, lengths[:keep])
-            self.ids = buffer
+        length = self.lengths[slots]
+        length[missing] = lengths
+        known = slots >= 0  # the known ones' ids come first in the buffer
+        total = np.append(0, np.cumsum(length[known]))
+        at = np.arange(total[-1]) + np.repeat(self.starts[slots[known]] - total[:-1], length[known])
+        buffer = np.concatenate([self.ids[at], ids])
+        start = np.empty(len(chunks), np.int64)
+        start[known] = total[:-1]
+        start[missing] = starts + total[-1]
+        self._remember(words, ids, starts, lengths)
         return start, length, buffer, coded.indices.to_numpy(zero_copy_only=False)
+
+    def _remember(self, words: list[str], ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        first = len(self.known)
+        keep = [i for i, w in enumerate(words) if len(w) <= self.longest][: self.limit - first]
+        if not keep:
+            return
+        self.known.update((words[i], first + n) for n, i in enumerate(keep))
+        sizes = lengths[keep]
+        total = np.append(0, np.cumsum(sizes))
+        at = np.arange(total[-1]) + np.repeat(starts[keep] - total[:-1], sizes)
+        if self.used + len(at) > len(self.ids):
+            self.ids = np.append(self.ids[: self.used], np.zeros(max(len(at), self.used, 1 << 16), np.uint32))
+        self.ids[self.used : self.used + len(at)] = ids[at]
+        self.starts[first : first + len(keep)] = self.used + total[:-1]
+        self.lengths[first : first + len(keep)] = sizes
+        self.used += len(at)

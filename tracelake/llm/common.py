@@ -38,11 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Drop a query's shuffle files as it ends: what it made is then in the shared folder or on the driver."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -52,6 +50,11 @@ def tidy(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+def tidy(spark: SparkSession) -> contextlib.AbstractContextManager:
+    """Drop a query's shuffle files as it ends: what it made is then in the shared folder or on the driver."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _FOLDERS.add(folder)
@@ -72,10 +75,13 @@ def clean_up(spark: SparkSession) -> None:
         remove(spark, folder)
 
 
-def cut(spark: SparkSession, df: DataFrame, name: str = "cut") -> DataFrame:
-    """Materialise in the shared folder as a compressed columnar table, and cut the lineage there."""
+def cut(spark: SparkSession, df: DataFrame, name: str = "cut", narrow: bool = False) -> DataFrame:
+    """Materialise in the shared folder as a compressed columnar table, and cut the lineage there.
+
+    A `narrow` table, a step of many in an iteration, is made without generating code for whole stages, which the
+    driver would compile and hold: for a few integers a row that takes longer, and more memory, than it saves."""
     path = new_folder(spark, name)
-    with tidy(spark):
+    with tidy(spark), _setting(spark, "spark.sql.codegen.wholeStage", "false") if narrow else contextlib.nullcontext():
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracelake_folder = path

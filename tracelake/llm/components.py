@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import cut, drop, tidy
+from tracelake.llm.common import cut, drop
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -30,21 +30,24 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     The pairs stay distributed; a round's result goes to the shared folder, and the driver sees one
     row of sums, by which it knows that a round changed nothing.
     """
-    pairs = cut(spark, links.where("a <> b").select("a", "b").distinct(), "pairs")
+    pairs = cut(spark, links.where("a <> b").select("a", "b").distinct(), "pairs", narrow=True)
 
     def mark(df: DataFrame) -> tuple:
-        with tidy(spark):
-            return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        sums = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+        made = cut(spark, sums, "sums", narrow=True)
+        out = tuple(made.first())
+        drop(spark, made)
+        return out
 
     seen = mark(pairs)
     while seen[0]:
-        last, pairs = pairs, cut(spark, _star(_star(pairs, True), False), "pairs")
+        last, pairs = pairs, cut(spark, _star(_star(pairs, True), False), "pairs", narrow=True)
         drop(spark, last)
         now = mark(pairs)
         if now == seen:
             break
         seen = now
     named = pairs.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    labels = cut(spark, named.union(pairs.select("b", "b")).groupBy("node").agg(F.min("label").alias("label")), "labels")
+    labels = cut(spark, named.union(pairs.select("b", "b")).groupBy("node").agg(F.min("label").alias("label")), "labels", narrow=True)
     drop(spark, pairs)
     return labels

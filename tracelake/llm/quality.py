@@ -1,7 +1,8 @@
 """Line-first cleaning; DataFrame functions only.
 
 Each line of a text is judged on its own: a line is removed if it is navigation (several separators,
-or a short list entry), boilerplate (a phrase of the list below), or a short line that doesn't end as
+or a short list entry), boilerplate (a phrase of the lists below, one
+for each of four languages), or a short line that doesn't end as
 a sentence does.  A document that loses too large a share of its word characters is rejected.  A few
 counts of the whole text reject a document before that.
 
@@ -18,9 +19,13 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import SPACE, WORD
 
 SYMBOLS = r"[#*$%&|<>]"
+# Phrases of boilerplate, in lower case.
 BOILERPLATE = (
     "cookie", "privacy policy", "terms of use", "terms of service", "all rights reserved", "javascript",
     "lorem ipsum", "subscribe to our", "click here", "copyright",
+    "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "hier klicken", "newsletter abonnieren",
+    "politique de confidentialité", "conditions d.utilisation", "tous droits réservés", "cliquez ici", "mentions légales",
+    "política de privacidad", "condiciones de uso", "todos los derechos reservados", "haga clic", "aviso legal",
 )
 NAVIGATION = r"(\|.*\||»|›|^\s*[-*•]\s)"
 SENTENCE_END = r"[.!?:;\x{2026}\"'\x{201D}\x{00BB})][\x20\x09-\x0D]*$"
@@ -36,20 +41,12 @@ def judged(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     d = d.withColumn("words", F.array_remove(F.split("t", SPACE + "+"), "")).withColumn("lines", F.split("t", "\n"))
     d = d.withColumn("n_words", F.size("words").cast("long"))
-    bare = F.col("t")
-    for c in " \t\n\x0b\f\r":
-        bare = F.replace(bare, F.lit(c), F.lit(""))
-    d = d.withColumn("word_chars", F.length(bare).cast("long"))
+    d = d.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
     d = d.withColumn("n_symbols", F.regexp_count("t", F.lit(SYMBOLS)).cast("long"))
     d = d.withColumn("full", F.expr(f"filter(lines, x -> x rlike r'{WORD}')"))
     d = d.withColumn("n_dup_lines", (F.size("full") - F.size(F.array_distinct("full"))).cast("long"))
-    d = d.withColumn(
-        "tri",
-        F.expr(
-            "if(n_words < 3, array(), transform(sequence(0, cast(n_words as int) - 3), "
-            "i -> xxhash64(words[i], words[i + 1], words[i + 2])))"
-        ),
-    )
+    tri = "slice(transform(words, (w, i) -> xxhash64(w, get(words, i + 1), get(words, i + 2))), 1, cast(greatest(n_words - 2, 0) as int))"
+    d = d.withColumn("tri", F.expr(tri))
     again = (
         "transform(array(array_sort(transform(tri, (x, i) -> named_struct('x', x, 'i', i)))), s -> "
         "size(array_distinct(flatten(transform(filter(s, (e, j) -> "

@@ -8,49 +8,53 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm import bpe, jaccard, language, mixing, quality, suffixes, topk, toxicity, warc, wavelet
-from tracelake.llm.common import table
+from tracelake.llm.common import spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode(docs, path, public_tokenizers.PATTERN, with_ids=False)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(spark, table(spark, sf_dir, "documents"), k=3, per_cent=90)
+    return jaccard.join(spark, documents(spark, sf_dir), k=3, per_cent=90)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.records(spark, table(spark, sf_dir, "pages"))
+    return warc.records(spark, spread(table(spark, sf_dir, "pages")))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.removed(spark, table(spark, sf_dir, "documents"), length=100)
+    return suffixes.removed(spark, documents(spark, sf_dir), length=100)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(spark, table(spark, sf_dir, "documents"))
+    return mixing.taken(spark, documents(spark, sf_dir))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return language.predict(docs, language.fit(docs))
 
 
 def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return wavelet.read(spark, wavelet.write(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents")).drop("clean_text", "kept_chars")
+    return quality.judged(documents(spark, sf_dir)).drop("clean_text", "kept_chars")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

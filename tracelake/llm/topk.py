@@ -1,11 +1,12 @@
 """Exact top-k by inner product: exhaustive term-at-a-time accumulation.
 
-Vectors are packed into blocks of a bounded size.  Candidate blocks are kept as postings: for each
-component, the rows where it isn't zero and their weights.  Query and candidate blocks meet by their pair of
-block numbers; there, component after component, the queries that have it scatter
-their weight times the postings into a dense array of scores.  Of each query's scores the k-th
-largest is found by partition selection, all above it and the smallest ids of its ties are kept, and
-the blocks' lists are merged by rank.
+Vectors are packed into blocks of a bounded size.  Query blocks are dealt into rows of a grid and candidate
+blocks into its columns, so that each cell is a task of bounded size and a block is shipped once to each
+cell of its row or column.  Candidates are kept as postings: for each component, the vectors where it
+isn't zero and their weights.  Component after component, the queries that have it scatter their weight times
+the postings into a dense array of scores.  Of each query's scores the k-th largest is found by partition
+selection, all above it and the smallest ids of its ties are kept; a cell merges its blocks' lists, and the
+cells' lists are merged by rank.
 
 Cases: null vectors and those with null or non-finite components take no part; nor do rows with a
 null id; vectors may differ in length (a missing component is 0); rows that repeat an id are
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import cut
+from tracelake.llm.common import batch, cut, fan_out
 
 BLOCK = 4096
 SCORES = 1 << 18  # cells of the score array
+#: Blocks of queries in a row of the grid, and of candidates in a column.
+QUERY_BLOCKS, CANDIDATE_BLOCKS = 8, 32
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -76,7 +79,7 @@ def peak(x: np.ndarray) -> int:
 
 
 def best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Each query's k best of a candidate block: query ids, candidate ids, scores."""
+    """Each query's k best of a candidate block: rows of queries, candidate ids, scores; by query, best first."""
     order = np.argsort(c_ids, kind="stable")
     c, c_ids = c[order], c_ids[order]
     postings = []  # rows and weights; most rows: the whole column, where the zeros add nothing
@@ -84,10 +87,10 @@ def best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k:
         rows = np.flatnonzero(c[:, d])
         dense = 2 * len(rows) > len(c)
         postings.append((None, c[:, d].copy()) if dense else (rows, c[rows, d]))
-    out = []
+    out = [tuple(np.empty(0, np.int64) for _ in range(3))]
     step = max(1, SCORES // max(1, len(c)))
-    for at in range(0, len(q), step):
-        some, ids = q[at : at + step].astype(np.int64), q_ids[at : at + step]
+    for first in range(0, len(q), step):
+        some, ids = q[first : first + step].astype(np.int64), q_ids[first : first + step]
         most = peak(some) * peak(c) * max(1, c.shape[1])  # beyond 64 bits: Python's integers
         scores = np.zeros((len(some), len(c)), np.int32 if most < 2**31 else np.int64 if most < 2**63 else object)
         room = np.empty_like(scores)
@@ -112,13 +115,22 @@ def best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k:
         if own is not None:
             keep &= ~own
         r, col = np.nonzero(keep)
-        s = scores[r, col].astype(np.int64)
-        by = np.lexsort((c_ids[col], -s, r))
-        r, col, s = r[by], col[by], s[by]
-        first = np.searchsorted(r, r, "left")
-        top = np.arange(len(r)) - first < k
-        out.append((ids[r[top]], c_ids[col[top]], s[top]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+        out.append((r + first, c_ids[col], scores[r, col].astype(np.int64)))
+    return top(*(np.concatenate(x) for x in zip(*out)), k)
+
+
+def top(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each row, by row, best first."""
+    by = np.lexsort((ids, -scores, rows))
+    rows, ids, scores = rows[by], ids[by], scores[by]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, "left") < k
+    return rows[keep], ids[keep], scores[keep]
+
+
+def _opened(block: dict) -> tuple[np.ndarray, np.ndarray]:
+    """ids and vectors of a block."""
+    kind = np.int32 if len(block["data"]) == 4 * block["n"] * block["width"] else np.int64
+    return np.frombuffer(block["ids"], "<i8"), np.frombuffer(block["data"], kind).reshape(block["n"], block["width"])
 
 
 def top_k(
@@ -128,27 +140,31 @@ def top_k(
     """query_id, rank, vec_id, score of the k best other rows of each row for which `queries` (SQL on `id`) holds."""
     rows = quantized(vectors, id_col, vector_col, scale)
     tasks = max(1, rows.rdd.getNumPartitions())
-    asked = packed(rows.where(queries).coalesce(max(1, tasks // 16)))
-    asked = cut(spark, asked.select(F.monotonically_increasing_id().alias("qb"), *[F.col(c).alias(f"q_{c}") for c in asked.columns]))
-    blocks = cut(spark, packed(rows).withColumn("cb", F.monotonically_increasing_id()))
-    # the driver sees one number for each block of vectors
-    dealt = [
-        df.withColumn(other, F.explode(F.split(F.lit(",".join(str(r[0]) for r in of.select(other).collect())), ",")))
-        .withColumn(other, F.expr(f"try_cast({other} as bigint)"))
-        for df, other, of in ((asked, "cb", blocks), (blocks, "qb", asked))
-    ]
-    pairs = dealt[0].join(dealt[1], ["cb", "qb"])
+    asked = cut(spark, packed(rows.where(queries).coalesce(max(1, tasks // 16))).withColumn("number", F.monotonically_increasing_id()), "queries")
+    blocks = cut(spark, packed(rows).withColumn("number", F.monotonically_increasing_id()), "vectors")
+    n_asked, n_blocks = asked.count(), blocks.count()
+    height = max(1, -(-n_asked // QUERY_BLOCKS))
+    width = max(1, -(-n_blocks // CANDIDATE_BLOCKS), min(n_blocks, -(-fan_out(spark) // height)))
+    dealt = lambda df, mine, n, other, m: df.withColumn(mine, F.pmod(F.xxhash64("number"), F.lit(n)).cast("int")).withColumn(
+        other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    )
+    left, right = dealt(asked, "r", height, "c", width), dealt(blocks, "c", width, "r", height)
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.to_pylist():
-                kind = lambda p: np.int32 if len(x[p + "data"]) == 4 * x[p + "n"] * x[p + "width"] else np.int64  # noqa: E731, B023
-                shape = lambda p: np.frombuffer(x[p + "data"], kind(p)).reshape(x[p + "n"], x[p + "width"])  # noqa: E731, B023
-                ids = lambda p: np.frombuffer(x[p + "ids"], "<i8")  # noqa: E731, B023
-                found = best(shape("q_"), ids("q_"), shape(""), ids(""), k)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in found], schema=schema)
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    def run(key: tuple, some: pa.Table, others: pa.Table) -> pa.Table:
+        out = []
+        for x in some.to_pylist():
+            q_ids, q = _opened(x)
+            found = tuple(np.empty(0, np.int64) for _ in range(3))
+            for row in range(others.num_rows):
+                c_ids, c = _opened(others.slice(row, 1).to_pylist()[0])
+                new = best(q, q_ids, c, c_ids, k)
+                found = top(*(np.concatenate(y) for y in zip(found, new)), k)
+            out.append(batch(schema, [q_ids[found[0]], found[1], found[2]]))
+        return pa.Table.from_batches(out, schema=schema)
+
+    columns = ["r", "c", "n", "width", "ids", "data"]
+    cells = left.select(*columns).groupBy("r", "c").cogroup(right.select(*columns).groupBy("r", "c"))
+    found = cells.applyInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -256,20 +256,31 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8000) -> Model | None:
     return Model(lexicon, trees, isotonic(trees.margin(x[fold]), y[fold]))
 
 
-def scored(docs: DataFrame, model: Model | None, threshold: float = 0.7, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; with `keep` all columns of the documents too."""
-    out = docs if keep else docs.select("doc_id", "text")
-    out = out.withColumn("held_out", held_out("doc_id"))
-    names = [c for c in out.columns if keep or c != "text"]
-    types = {f.name: f.dataType.simpleString() for f in out.schema}
-    ddl = ", ".join([f"`{c}` {types[c]}" for c in names] + ["score double", "predicted int"])
+def scored(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for piece in slices(b):
-                texts = list(texts_of(piece.column("text")))
-                score = model.score(texts) if model else np.zeros(len(texts))
-                made = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([piece.column(c) for c in names] + made, names=[*names, "score", "predicted"])
+                score = _scores(piece, model)
+                yield batch(schema, [piece.column("doc_id"), piece.column("held_out"), score, (score >= threshold).astype(np.int32)])
 
-    return out.mapInArrow(run, ddl)
+    rows = docs.select(F.col("doc_id").cast("long"), held_out("doc_id").alias("held_out"), "text")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def clean(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
+    """The rows of which the score is below the threshold, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece in slices(b):
+                yield piece.filter(pa.array(_scores(piece, model) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scores(piece: pa.RecordBatch, model: Model | None) -> np.ndarray:
+    texts = list(texts_of(piece.column("text")))
+    return model.score(texts) if model else np.zeros(len(texts))
