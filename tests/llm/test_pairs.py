@@ -102,13 +102,14 @@ def test_empty(spark):
     assert S.removed(spark, none, 100).count() == 0
 
 
-def test_multikey_sort():
+def test_multikey_quicksort():
     import numpy as np
 
     r = np.random.default_rng(1)
-    words = r.integers(0, 3, (500, 5)).astype(np.uint64)
-    order, shared = S.multikey_sort(words)
-    rows = [tuple(x) for x in words[order].tolist()]
-    assert rows == sorted(rows)
-    for a, b, n in zip(rows, rows[1:], shared[1:]):
-        assert n == next((i for i in range(5) if a[i] != b[i]), 5)
+    for n, width in ((500, 5), (1, 3), (0, 2), (40, 1)):
+        words = r.integers(0, 3, (n, width)).astype(np.uint64)
+        order = S.multikey_quicksort(words)
+        rows = [tuple(x) for x in words[order].tolist()]
+        assert sorted(order.tolist()) == list(range(n)) and rows == sorted(rows)
+        for a, b, shared in zip(rows, rows[1:], S.shared_words(words, order)[1:]):
+            assert shared == next((i for i in range(width) if a[i] != b[i]), width)

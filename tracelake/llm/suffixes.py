@@ -342,6 +342,10 @@ def _sorted(length: int) -> Callable:
             doc_id = t.column("doc_id").combine_chunks().fill_null(NONE).to_numpy(zero_copy_only=False)
             key, a = t.column("key").to_numpy(), t.column("a").to_numpy()
             ctx = np.frombuffer(b"".join(t.column("ctx").to_pylist()), np.uint8).reshape(len(a), -1)
+            by = np.lexsort((a, key, doc_id))
+            same = (doc_id[by][1:] == doc_id[by][:-1]) & (key[by][1:] == key[by][:-1]) & (a[by][1:] == a[by][:-1])
+            by = by[np.append(True, ~same)]  # rows that count as one document bring their anchors once each
+            doc_id, key, a, ctx = doc_id[by], key[by], a[by], ctx[by]
             who, lo, hi = repeated(doc_id, key, a, ctx, length)
             if len(who):
                 yield batch(_SPANS, [pa.array(doc_id[who], mask=doc_id[who] == NONE), key[who], lo, hi])
