@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,16 +54,17 @@ def charge(x: Column, q_charge: float = C.Q_CHARGE) -> Column:
     return F.transform(x, lambda v: F.floor(v) / F.lit(q_charge))
 
 
-def downsample(x: Column, phase: int = 0, low: float | None = None, high: float | None = None) -> Column:
+def downsample(x: Column, phase: int = 0, low: float | None = None, high: float | None = None, skip_last: bool = False) -> Column:
     """FIR filter and decimation by 3.  The array is cut to a multiple of 3 and padded with bins of its
-    own mirrored ends; the filtered value is truncated, then shifted arithmetically."""
+    own mirrored ends (the front without its first bin; the back without its last one if `skip_last`); the
+    filtered value is truncated, then shifted arithmetically."""
     taps = F.array(*[F.lit(float(t)) for t in C.FIR_TAPS])
     half = len(C.FIR_TAPS) // 2
 
     def filtered(t: Column) -> Column:
         n = F.size(t)
         padded = F.concat(
-            F.reverse(F.slice(t, 2, half)), t, F.reverse(F.slice(t, n - half + 1, half)), F.array(F.lit(0.0))
+            F.reverse(F.slice(t, 2, half)), t, F.reverse(F.slice(t, n - half + (0 if skip_last else 1), half)), F.array(F.lit(0.0))
         )
 
         def at(k: Column) -> Column:
@@ -154,18 +156,19 @@ def hashed_uniform(*cols: Column | str, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def dither(x: Column, key: Column, seed: int = 0) -> Column:
-    """A uniform fraction added to each integer bin."""
-    return F.transform(x, lambda v, i: v + F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53)))
+def dither(x: Column, key: Column, seed: int = 0, draw: Callable[[Column], Column] | None = None) -> Column:
+    """A uniform fraction added to each integer bin; `draw` gives it for a bin's number, else a hash does."""
+    draw = draw or (lambda i: hashed_uniform(key, i, seed=seed))
+    return F.transform(x, lambda v, i: v + draw(i))
 
 
-def gaussian(key: Column, n: int, mean: float, std: float, seed: int = 0) -> Column:
-    """n normal values by the polar angle transform of two hashed uniforms."""
+def gaussian(key: Column, n: int, mean: float, std: float, seed: int = 0, draw: Callable[[Column], Column] | None = None) -> Column:
+    """n normal values by the polar angle transform of draws 2i and 2i + 1, uniform in [0, 1) (hashed unless given)."""
+    draw = draw or (lambda k: hashed_uniform(key, k, seed=seed))
 
     def one(i: Column) -> Column:
-        u = (F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(1 << 53)) + 1) / F.lit(float(1 << 53))
-        v = F.pmod(F.xxhash64(key, i, F.lit(seed + 1)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-        return mean + std * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+        u = (draw(2 * i) * 2147483648 + 1) / 2147483649  # not 0
+        return mean + std * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * draw(2 * i + 1))
 
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)
 

@@ -14,55 +14,75 @@ TAU_BINS = 41e-6 / 8.33e-9
 
 def estimate(x: np.ndarray) -> tuple[float, float]:
     """Mean and spread after dropping, until nothing is dropped, what is beyond two spreads of the most
-    frequent integer (the largest integer isn't a candidate)."""
+    frequent integer (the smallest of equals; the largest integer isn't a candidate)."""
     x = np.asarray(x, float)
     while len(x):
-        values = np.arange(int(x.min()), int(x.max()))
-        whole = x[x == np.floor(x)].astype(int)
-        counts = np.array([(whole == v).sum() for v in values])
-        mode = values[counts.argmax()] if len(values) else x[0]
-        spread = x.std()
-        kept = x[np.abs(x - mode) <= 2 * spread]
+        low, high = int(x.min()), int(x.max())
+        whole = x[x == np.floor(x)].astype(int) - low
+        counts = np.bincount(whole[(whole >= 0) & (whole < high - low)], minlength=high - low)
+        mode = low + int(counts.argmax()) if high > low else x[0]
+        kept = x[np.abs(x - mode) <= 2 * x.std()]
         if len(kept) == len(x) or not len(kept):
             break
         x = kept
     return (float(x.mean()), float(x.std())) if len(x) else (float("nan"), float("nan"))
 
 
-def corrected(x: np.ndarray, edge: int = 300, reject: float = 5.0) -> tuple[str, np.ndarray]:
-    """Status and samples after the baseline's change between both ends is taken out."""
-    (b0, s), (b1, _) = estimate(x[:edge]), estimate(x[-edge:])
-    change, s = b1 - b0, max(s, 1e-9)
-    if change >= reject * s:
+def corrected(x: np.ndarray, edge: int = 300, mend: bool = False) -> tuple[str, np.ndarray]:
+    """Status and samples after the baseline is taken out.  With the change between both ends and its spread s (of both
+    ends): from 5 s on the trace is rejected; a smaller rise counts as constant; a fall of up to s, or any if no
+    sample is 50 above the first baseline, as a step at the largest sample; a larger one is an undershoot,
+    which is rejected too unless it is to be mended."""
+    (b0, s0), (b1, s1) = estimate(x[:edge]), estimate(x[-edge:])
+    change, s = b1 - b0, float(np.hypot(s0, s1))
+    if change >= 5 * s:
         return "rejected", x
     if change >= 0:
-        return "constant", x - (b0 + b1) / 2
+        return "constant", x - estimate(x)[0]
     if change >= -s or x.max() - b0 < 50:
-        at = int(x.argmax())
-        return "step", x - np.where(np.arange(len(x)) < at, b0, b1)
-    return "undershoot", undershoot(x, b0, b1)
+        return "step", x - np.where(np.arange(len(x)) < int(x.argmax()), b0, b1)
+    if not mend:
+        return "undershoot", x
+    done = undershoot(x, b0, b1, edge)
+    return ("undershoot", x) if done is None else ("mended", done)
+
+
+def undershoot(x: np.ndarray, b0: float, b1: float, edge: int = 300, rounds: int = 3, tau: float = TAU_BINS) -> np.ndarray | None:
+    """A baseline that falls as charge is collected and recovers as it decays: at first a straight line between both
+    ends, then in each round the held charge above the last one, scaled to its value in the middle of the last
+    end.  None if that is negative."""
+    n = len(x)
+    base = np.append(np.linspace(b0, b1, n - 2 * edge, endpoint=False), np.full(edge, b1))
+    decay = np.exp(-np.arange(1, n - edge + 1) / tau)
+    front = (x[:edge] - b0).sum()
+    for _ in range(rounds):
+        held = (front + np.cumsum((x[edge:] - base) / decay)) * decay
+        if held[-(edge // 2)] < 0:
+            return None
+        base = b0 + (b1 - b0) * held / held[-(edge // 2)]
+    return x - np.append(np.full(edge, b0), base)
 
 
-def undershoot(x: np.ndarray, b0: float, b1: float, rounds: int = 3, tau: float = TAU_BINS) -> np.ndarray:
-    """Linear first guess, then the baseline follows the charge, which decays exponentially."""
-    base = np.linspace(b0, b1, len(x))
-    for _ in range(rounds):
-        q, held = 0.0, np.empty(len(x))
-        for i, v in enumerate(x - base):
-            q = q * np.exp(-1 / tau) + v
-            held[i] = q
-        base = b0 + (b1 - b0) * (held / held[-1] if held[-1] else np.linspace(0, 1, len(x)))
-    return x - base
+def estimates(traces: DataFrame, keys: list[str], samples: str) -> DataFrame:
+    """keys, mean and spread of each trace's baseline."""
+    schema = traces.select(*keys).schema.add("mean", "double").add("spread", "double")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            found = [estimate(np.asarray(v, float)) if v is not None else (None, None) for v in df[samples]]
+            yield df[keys].assign(mean=[m for m, _ in found], spread=[s for _, s in found])
+
+    return traces.select(*keys, samples).mapInPandas(run, schema)
 
 
-def correct(traces: DataFrame, samples: str, edge: int = 300) -> DataFrame:
+def correct(traces: DataFrame, samples: str, edge: int = 300, mend: bool = False) -> DataFrame:
     """All rows with status and corrected samples; rejected traces keep theirs and can be put elsewhere."""
     names = [f.name for f in traces.schema]
     schema = traces.select(*[F.col(c) for c in names]).schema.add("status", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            done = [corrected(np.asarray(v, float), edge) if v is not None and len(v) else ("empty", v) for v in df[samples]]
+            done = [corrected(np.asarray(v, float), edge, mend) if v is not None and len(v) else ("empty", v) for v in df[samples]]
             df[samples] = [list(v) if v is not None else None for _, v in done]
             df["status"] = [s for s, _ in done]
             yield df
@@ -70,14 +90,15 @@ def correct(traces: DataFrame, samples: str, edge: int = 300) -> DataFrame:
     return traces.mapInPandas(run, schema)
 
 
-def spectra(traces: DataFrame, key: str, samples: str) -> DataFrame:
-    """Mean power spectrum per key: key, freq, power.  Each batch emits one row per trace and frequency
-    summed by key already, so the shuffle carries sums only."""
+def spectra(traces: DataFrame, keys: list[str], samples: str) -> DataFrame:
+    """freq, power: the mean over showers (the first key) of the mean power spectrum of their traces.  Each batch
+    adds up its spectra by shower, so the shuffle carries sums only."""
+    key = keys[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             for k, rows in df.groupby(key):
-                power = [np.abs(np.fft.rfft(np.asarray(v, float))) ** 2 for v in rows[samples]]
+                power = [np.abs(np.fft.fft(np.asarray(v, float))) ** 2 for v in rows[samples]]
                 n = max(map(len, power))
                 total, count = np.zeros(n), np.zeros(n, int)
                 for p in power:
@@ -87,4 +108,4 @@ def spectra(traces: DataFrame, key: str, samples: str) -> DataFrame:
 
     kind = traces.schema[key].dataType.simpleString()
     sums = traces.select(key, samples).mapInPandas(run, f"{key} {kind}, freq int, s double, c long")
-    return sums.groupBy(key, "freq").agg((F.sum("s") / F.sum("c")).alias("power"))
+    return sums.groupBy(key, "freq").agg((F.sum("s") / F.sum("c")).alias("m")).groupBy("freq").agg(F.avg("m").alias("power"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -84,6 +84,28 @@ def fit_exponential(rates: DataFrame, keys: list[str], x: str = "x", y: str = "y
     return rates.select(*keys, x, y).groupBy(*keys).applyInPandas(fit, schema)
 
 
+def surplus(rate: Column, a: Column, b: Column) -> Column:
+    """Scale at which the fitted rate a exp(-b x) has the given value, downwards from 0."""
+    return F.log(rate / a) / b
+
+
+def binned(cells: DataFrame, keys: list[str], distance: str, hit: str, miss: str, last: int = 5) -> DataFrame:
+    """keys, x, y, w for weighted fits: efficiency at the middle of 100 m bins, by the number of samples; each
+    group's last bins are left out."""
+    far = F.max(distance).over(Window.partitionBy(*keys))
+    n = F.col(hit) + F.col(miss)
+    rows = cells.withColumn("_far", far).where((F.col(distance) <= F.col("_far") - 100 * last) & (n > 0))
+    return rows.select(*keys, (F.col(distance) - 50.0).alias("x"), (F.col(hit) / n).alias("y"), n.cast("double").alias("w"))
+
+
+def line(y: str, x: str) -> list[Column]:
+    """Slope and intercept of a straight line, and their variances and covariance from the residuals."""
+    n, sxx, mean = F.regr_count(y, x), F.regr_sxx(y, x), F.regr_avgx(y, x)
+    s2 = (F.regr_syy(y, x) - F.regr_slope(y, x) * F.regr_sxy(y, x)) / (n - 2)
+    parts = [F.regr_slope(y, x), F.regr_intercept(y, x), s2 / sxx, s2 * (1 / n + mean * mean / sxx), -s2 * mean / sxx]
+    return [c.alias(a) for c, a in zip(parts, ("slope", "intercept", "var_slope", "var_intercept", "cov"))]
+
+
 def fit_peak(histogram: DataFrame, keys: list[str], side_bands: tuple[tuple[int, int], ...], peak: tuple[int, int]) -> DataFrame:
     """Gaussian on the bins of `peak` over a log-linear background fitted on the side bands; columns bin and n."""
     schema = ", ".join(f"{k} {histogram.schema[k].dataType.simpleString()}" for k in keys) + ", mean double, sigma double"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.ordering import numbered
+
 
 def micros(time: str) -> Column:
     """Microseconds since 1970 of a timestamp column with or without a time zone."""
@@ -14,18 +16,16 @@ def micros(time: str) -> Column:
 def hits_and_misses(events: DataFrame, considered: DataFrame, present: DataFrame, event: str, station: str, by: Column | None = None) -> DataFrame:
     """Per event (and bin), the considered stations that are present and those that aren't.
 
-    The product of events and stations is never made: hits are counted by a join, misses follow from
-    the number of stations per bin, which is a small table.
+    Each event gets a row for each bin, not for each station: the bins with their numbers of stations are one row
+    that is broadcast (there are as many as distance bins).  Hits are counted by a join, misses follow.
     """
     if by is None:
         by = F.lit(0)
     binned = considered.select(station, by.alias("bin")).distinct()
     totals = binned.groupBy("bin").agg(F.count("*").alias("n"))
     found = present.select(event, station).distinct().join(binned, station).groupBy(event, "bin").agg(F.count("*").alias("hits"))
-    every = events.select(event).distinct().withColumn("one", F.lit(1)).join(
-        totals.groupBy(F.lit(1).alias("one")).agg(F.collect_list(F.struct("bin", "n")).alias("bins")), "one"
-    )
-    every = every.select(event, F.inline("bins"))
+    bins = totals.agg(F.collect_list(F.struct("bin", "n")).alias("bins"))
+    every = events.select(event).distinct().crossJoin(F.broadcast(bins)).select(event, F.inline("bins"))
     out = every.join(found, [event, "bin"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return out.select(event, "bin", "hits", (F.col("n") - F.col("hits")).alias("misses"))
 
@@ -66,11 +66,12 @@ def within_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def round_robin(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str], n_right: int) -> DataFrame:
-    """Give each left row the next right row in turn; `right` is a small table of n_right rows."""
-    l = left.withColumn("slot", (F.row_number().over(Window.orderBy(*left_order)) - 1) % n_right)  # noqa: E741
-    r = right.withColumn("slot", F.row_number().over(Window.orderBy(*right_order)) - 1)
-    return l.join(r, "slot").drop("slot")
+def round_robin(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """Give each left row the next right row in turn.  Both are numbered by buckets of their order, so no task
+    holds all rows of either."""
+    n = max(1, right.count())
+    l = numbered(left, left_order, "_nth").withColumn("_slot", F.col("_nth") % n)  # noqa: E741
+    return l.join(numbered(right, right_order, "_slot"), "_slot").drop("_slot", "_nth")
 
 
 def natural(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake import config as C
+from tracelake.operators.ordering import quantile_bucket, running
 
 
 def rate(n: Column, duration: Column) -> list[Column]:
@@ -35,17 +36,36 @@ def sparse_grid(grid: DataFrame, cell: list[str], hit: str = "hits", miss: str =
     return grid.withColumn("_h", F.sum(hit).over(by)).withColumn("_m", F.sum(miss).over(by)).where("_h > 0 AND _m > 0").drop("_h", "_m")
 
 
-def quantiles(values: Column, n_bins: int) -> Column:
-    """n_bins + 1 equal-count edges of a sorted array, with plotting positions of 0.4."""
-
-    def at(i: Column) -> Column:
-        n, p = F.size(values).cast("double"), i / F.lit(float(n_bins))
-        aleph = n * p + 0.4 + p * 0.2
-        k = F.greatest(F.lit(1.0), F.least(F.floor(aleph).cast("double"), n - 1))
-        g = F.greatest(F.lit(0.0), F.least(F.lit(1.0), aleph - k))
-        return (1 - g) * F.element_at(values, k.cast("int")) + g * F.element_at(values, F.least(k + 1, n).cast("int"))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(n_bins)), at)
+def bins_for(count: Column, first: Column) -> Column:
+    """How many edges so many values are cut by: values per bin start at `first` and go down by 10 until there are
+    more than 7 bins, or the next step would come to 50 or fewer."""
+    size = lambda k: first - 10 * k
+    enough = lambda k: (F.floor(count / size(k)) - 1 > 7) | (size(k + 1) <= 50)
+    k = F.element_at(F.filter(F.sequence(F.lit(0), F.greatest(F.ceil(first / 10).cast("int"), F.lit(0))), enough), 1)
+    return F.floor(count / size(k)).cast("int")
+
+
+def quantiles(values: DataFrame, keys: list[str], value: str, edges: Column | None = None, bins: int | None = None, least: int = 1) -> DataFrame:
+    """keys, i, edge: equal-count edges of the values of each key, with plotting positions of 0.4.
+
+    There are bins + 1 edges, or as many as `edges` says (a column on `n`, the key's values).  Values are
+    counted first; the places of the wanted ones in the order follow from running sums by buckets, so neither a key
+    nor its values is held by a task.  The wanted places (some per key) are broadcast, so they are to be few: keys
+    are cells of a grid."""
+    counted = values.groupBy(*keys, value).agg(F.count("*").alias("c"))
+    groups = counted.groupBy(*keys).agg(F.sum("c").alias("n")).where(F.col("n") >= least)
+    groups = groups.withColumn("m", F.lit(bins + 1) if edges is None else edges).where("m > 1")
+    p = F.col("i") / (F.col("m") - 1)
+    want = groups.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1))).withColumn("a", F.col("n") * p + 0.4 + p * 0.2)
+    want = want.withColumn("k", F.greatest(F.lit(1.0), F.least(F.floor("a").cast("double"), F.col("n") - 1)))
+    want = want.withColumn("g", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("a") - F.col("k"))))
+    sides = F.array(F.struct(F.col("k").alias("at"), (1 - F.col("g")).alias("w")), F.struct(F.least(F.col("k") + 1, F.col("n")).alias("at"), F.col("g").alias("w")))
+    want = want.select(*keys, F.inline(F.transform(sides, lambda s: F.struct(F.col("i").alias("i"), s["at"].alias("at"), s["w"].alias("w")))))
+    wanted = want.groupBy(*keys).agg(F.collect_list(F.struct("i", "at", "w")).alias("want"))
+    placed = running(counted.withColumn("_bucket", quantile_bucket(counted, value)), keys, "_bucket", [value], "c", "_before")
+    met = placed.join(F.broadcast(wanted), keys)
+    met = met.select(*keys, value, F.inline(F.filter("want", lambda x: (x["at"] > F.col("_before")) & (x["at"] <= F.col("_before") + F.col("c")))))
+    return met.groupBy(*keys, "i").agg(F.sum(F.col(value) * F.col("w")).alias("edge"))
 
 
 def uniform_bin(x: Column, low: float, high: float, bins: int) -> Column:

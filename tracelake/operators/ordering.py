@@ -28,18 +28,23 @@ def bucket_of(order: str | Column, rows: str | Column) -> Column:
 def running(df: DataFrame, by: list[str], bucket: str, order: list[str], value: str | Column, name: str) -> DataFrame:
     """The rows with the sum of `value` over all rows of their key that come before them in the order."""
     value = F.col(value) if isinstance(value, str) else value
-    sums = df.groupBy(*by, bucket).agg(F.sum(value).alias("_sum"))
+    sums = df.groupBy(*by, bucket).agg(F.sum(value).alias("_run_sum"))
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*by, bucket, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    sums = sums.select(*by, bucket, F.coalesce(F.sum("_run_sum").over(before), F.lit(0)).alias("_run_before"))
     own = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.join(sums, [*by, bucket]).withColumn(name, F.col("_before") + F.coalesce(F.sum(value).over(own), F.lit(0)))
-    return out.drop("_before")
+    out = df.join(sums, [*by, bucket]).withColumn(name, F.col("_run_before") + F.coalesce(F.sum(value).over(own), F.lit(0)))
+    return out.drop("_run_before")
 
 
-def numbered(df: DataFrame, column: str, name: str, buckets: int = 256) -> DataFrame:
-    """The rows with their number, from 0, in the order of a numeric column without ties; buckets follow the column's
-    approximate quantiles, which decide on balance only."""
+def quantile_bucket(df: DataFrame, column: str, buckets: int = 256) -> Column:
+    """Bucket of a numeric column's values by its approximate quantiles, which decide on balance only."""
     cuts = df.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)]).alias("x")).first().x or []
     edges = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    marked = df.withColumn("_bucket", F.size(F.filter(edges, lambda e: F.col(column) >= e)))
-    return running(marked, [], "_bucket", [column], F.lit(1), name).drop("_bucket")
+    return F.size(F.filter(edges, lambda e: F.col(column) >= e))
+
+
+def numbered(df: DataFrame, column: str, name: str, buckets: int = 256, tie: str | None = None) -> DataFrame:
+    """The rows with their number, from 0, in the order of a numeric column, and of `tie` where it has equals."""
+    marked = df.withColumn("_part", quantile_bucket(df, column, buckets))
+    order = [column] if tie is None else [column, tie]
+    return running(marked, [], "_part", order, F.lit(1), name).drop("_part")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.ordering import numbered, quantile_bucket, running
+
 
 def split(files: DataFrame, name: str, share: float, order: Column) -> DataFrame:
-    """part: the first int(share * n) files by `order` train, the others validate."""
-    n = F.count("*").over(Window.partitionBy())
-    nth = F.row_number().over(Window.orderBy(order, name))
-    return files.withColumn("part", F.when(nth <= F.floor(n * share), "train").otherwise("validate"))
+    """part: the first int(share * n) files by `order` (a number) and name train, the others validate."""
+    n = files.count()
+    nth = numbered(files.withColumn("_order", order.cast("double")), "_order", "_nth", tie=name)
+    return nth.withColumn("part", F.when(F.col("_nth") < int(share * n), "train").otherwise("validate")).drop("_order", "_nth")
 
 
 def background_needed(n_sig: Column, n_other: Column, prior: float) -> Column:
@@ -35,3 +37,26 @@ def triangle(u: Column, v: Column) -> tuple[Column, Column]:
     over = u + v > 1
     a, b = F.when(over, 1 - u).otherwise(u), F.when(over, 1 - v).otherwise(v)
     return a + b / 2, b * (3**0.5 / 2)
+
+
+def with_background(batches: DataFrame, batch: str, needed: str, windows: DataFrame, order: str) -> DataFrame:
+    """For each batch as many background windows as it needs: batches in order take consecutive windows, and after
+    the last one the first comes again.  Windows are numbered by `order`, and dealt out by an equi-join."""
+    n = windows.count()
+    asked = batches.where(F.col(needed) > 0).withColumn("_bucket", quantile_bucket(batches, batch))
+    asked = running(asked, [], "_bucket", [batch], needed, "_before")
+    slots = asked.select(batch, F.explode(F.expr(f"sequence(_before, _before + {needed} - 1)")).alias("_slot"))
+    slots = slots.withColumn("_slot", F.col("_slot") % F.lit(max(1, n)))
+    return slots.join(numbered(windows, order, "_slot"), "_slot").drop("_slot")
+
+
+def legacy_background(n: Column, prior: float) -> Column:
+    """The older count: all rows that the prior asks for, less the signal."""
+    return (F.floor(n / prior) - n).cast("bigint")
+
+
+def interleaved(signal: DataFrame, order: str, u: Column, prior: float) -> DataFrame:
+    """Signal rows with `skipped`, the background rows before each (geometric, by u), and `place`, where it then comes."""
+    rows = signal.withColumn("skipped", F.floor(F.log(1 - u) / F.log(F.lit(1 - prior))).cast("bigint")).withColumn("_bucket", quantile_bucket(signal, order))
+    rows = running(rows, [], "_bucket", [order], F.col("skipped") + 1, "_before")
+    return rows.withColumn("place", F.col("_before") + F.col("skipped")).drop("_before", "_bucket")

@@ -47,28 +47,6 @@ def bayes(p1: Column, p2: Column, p3: Column, least: float = 1.5875) -> Column:
     return (A.total(p1) + A.total(p2) + A.total(p3)) / 3 > least
 
 
-#: Triggers by name; an unknown name raises.
-REGISTRY: dict[str, Callable[..., Column]] = {
-    "th1": lambda *p: threshold(*p, level=C.TH1),
-    "th2": lambda *p: threshold(*p, level=C.TH2),
-    "tot": over_threshold,
-    "totd": over_threshold_deconvolved,
-    "bayes": bayes,
-    "always": lambda *p: F.lit(True),
-}
-
-
-def any_of(names: list[str], p1: Column, p2: Column, p3: Column, **overrides: Callable[..., Column]) -> Column:
-    """Whether one of the named triggers fires; thresholds come first, as they are cheapest."""
-    known = REGISTRY | overrides
-    if missing := [n for n in names if n not in known]:
-        raise KeyError(f"unknown triggers: {missing}")
-    out = F.lit(False)
-    for n in sorted(names, key=lambda n: not n.startswith("th")):
-        out = out | known[n](p1, p2, p3)
-    return out
-
-
 def long_form(traces: DataFrame, key: str = "station") -> DataFrame:
     """station, pmt, pos, v from a row per station with p1 to p3."""
     pmts = F.array(*[F.col(p) for p in PMTS])
@@ -101,23 +79,44 @@ def flanks(bins: DataFrame, key: list[str]) -> DataFrame:
     return runs.where("n >= 2").drop("island", "n")
 
 
-def multiple_flanks(traces: DataFrame, key: str, q_peak: float, least_sum: float = 36.0, low: float = 3.0, high: float = 31.0, more_than: int = 4, pmts: int = 2) -> DataFrame:
-    """Per key, whether enough PMTs show more than four rises between the bounds, not counting those in
-    the shadow of a flank: after a rise of y, max(0, int(log2 y - 2)) bins are skipped.
+def flank_count(x: Column, low: float = 3.0, high: float = 31.0) -> Column:
+    """Rises between the bounds of an array's flanks (runs of at least two rising steps).
 
-    The skipping depends on what was accepted before, so a PMT's flanks are folded in order.
+    A rise of y casts a shadow of max(0, int(log2 y - 2)) bins from its top on.  A later flank that lies in
+    the shadow is left out; one that reaches out of it begins where the shadow ends.  Flanks that are left out cast
+    no shadow.  One pass over the bins: what was counted, where the shadow ends, and the run that is going on.
     """
-    bins = long_form(traces, key).withColumn("v", F.col("v") * q_peak)
-    sums = bins.groupBy(key, "pmt").agg(F.sum("v").alias("sum")).where(F.col("sum") > least_sum)
-    runs = flanks(bins, [key, "pmt"]).join(sums.select(key, "pmt"), [key, "pmt"], "left_semi")
-    ordered = runs.groupBy(key, "pmt").agg(F.sort_array(F.collect_list(F.struct("first", "last", "rise"))).alias("f"))
-    folded = F.expr(
-        "aggregate(f, named_struct('until', -1L, 'n', 0L), (a, x) -> if(x.last <= a.until, a, named_struct("
-        "'until', x.last + cast(greatest(0D, floor(log2(x.rise) - 2D)) as bigint), "
-        f"'n', a.n + if(x.rise > {low} and x.rise < {high}, 1L, 0L))), a -> a.n)"
-    )
-    counted = ordered.withColumn("n", folded).groupBy(key).agg(F.count_if(F.col("n") > more_than).alias("pmts"))
-    return traces.select(key).join(counted, key, "left").select(key, (F.coalesce("pmts", F.lit(0)) >= pmts).alias("fired"))
+    state = lambda n, until, first: F.struct(n.cast("int").alias("n"), until.cast("int").alias("until"), first.cast("int").alias("first"))
+
+    def closed(a: Column, last: Column) -> Column:
+        start = F.greatest(a["first"], a["until"])
+        rise = F.element_at(x, last + 1) - F.element_at(x, start + 1)
+        shadow = F.greatest(F.floor(F.log2(rise) - 2 + 1e-9), F.lit(0))
+        counted = state(a["n"] + F.when((rise > low) & (rise < high), 1).otherwise(0), last + shadow, F.lit(-1))
+        whole = (a["first"] >= 0) & (last - a["first"] >= 2) & (last - start >= 1)
+        return F.when(whole, counted).otherwise(state(a["n"], a["until"], F.lit(-1)))
+
+    def step(a: Column, i: Column) -> Column:
+        rising = F.element_at(x, i + 1) > F.element_at(x, i)
+        return F.when(rising, state(a["n"], a["until"], F.when(a["first"] < 0, i - 1).otherwise(a["first"]))).otherwise(closed(a, i - 1))
+
+    start = state(F.lit(0), F.lit(0), F.lit(-1))
+    folded = F.aggregate(F.sequence(F.lit(1), F.size(x) - 1), start, step, lambda a: closed(a, F.size(x) - 1)["n"])
+    return F.when(F.size(x) > 1, folded).otherwise(F.lit(0))
+
+
+def multiple_flanks(
+    p1: Column, p2: Column, p3: Column, q_peak: float = C.Q_PEAK, least_sum: float = 36.0, more_than: int = 4, pmts: int = 2
+) -> Column:
+    """Whether enough PMTs of the window have enough charge and more than four counted flanks."""
+    hits = [F.when((A.total(x) > least_sum) & (flank_count(x) > more_than), 1).otherwise(0) for x in (A.scale(p, q_peak) for p in (p1, p2, p3))]
+    return hits[0] + hits[1] + hits[2] >= pmts
+
+
+def log_likelihood(p1: Column, p2: Column, p3: Column, centres: list[float], quotients: list[float]) -> Column:
+    """Sum over all bins of the logarithm of the signal to background quotient in the nearest cell of the table."""
+    c, q = F.array(*[F.lit(float(x)) for x in centres]), F.array(*[F.log(F.lit(float(x))) for x in quotients])
+    return A.total(F.transform(F.concat(p1, p2, p3), lambda v: F.element_at(q, A.nearest_bin(v, c) + 1)))
 
 
 def coincidence(stations: DataFrame, event: str, distance: str, flag: str, tie: str, need: int = 3) -> DataFrame:
@@ -126,3 +125,26 @@ def coincidence(stations: DataFrame, event: str, distance: str, flag: str, tie:
     near = stations.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= need)
     out = near.groupBy(event).agg(F.count("*").alias("n"), F.bool_and(flag).alias("all"))
     return out.select(event, ((F.col("n") == need) & F.col("all")).alias("hit"))
+
+
+#: Triggers by name; an unknown name raises.
+REGISTRY: dict[str, Callable[..., Column]] = {
+    "th1": lambda *p: threshold(*p, level=C.TH1),
+    "th2": lambda *p: threshold(*p, level=C.TH2),
+    "tot": over_threshold,
+    "totd": over_threshold_deconvolved,
+    "mops": multiple_flanks,
+    "bayes": bayes,
+    "always": lambda *p: F.lit(True),
+}
+
+
+def any_of(names: list[str], p1: Column, p2: Column, p3: Column, **overrides: Callable[..., Column]) -> Column:
+    """Whether one of the named triggers fires; thresholds come first, as they are cheapest."""
+    known = REGISTRY | overrides
+    if missing := [n for n in names if n not in known]:
+        raise KeyError(f"unknown triggers: {missing}")
+    out = F.lit(False)
+    for n in sorted(names, key=lambda n: not n.startswith("th")):
+        out = out | known[n](p1, p2, p3)
+    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,31 @@ def windows(traces: DataFrame, key: str, width: int = C.WINDOW, step: int = C.ST
     return cut.select(key, "start", *[F.slice(p, F.col("start") + 1, width).alias(p) for p in ("p1", "p2", "p3")])
 
 
+def signal_range(bins: Column, signal: Column, decimated: bool = False) -> tuple[Column, Column, Column]:
+    """First and last bin of a signal that is placed at the latch bin, and the trace's length; after decimation
+    all are a third, cut to whole bins."""
+    start = F.floor(C.LATCH_SHARE * bins).cast("int")
+    third = 3 if decimated else 1
+    return tuple(F.floor(x / third).cast("int") for x in (start, start + signal, bins))
+
+
+def first_window(bins: Column, u: Column, width: int = C.WINDOW, decimated: bool = False) -> Column:
+    """Start of the first window of a trace with a signal: 1 to 9 bins (by u in [0, 1)) after the last one that
+    ends at the latch bin."""
+    at = F.greatest(F.floor(C.LATCH_SHARE * bins) - width + 1 + F.floor(9 * u), F.lit(0))
+    return F.floor(at / (3 if decimated else 1)).cast("int")
+
+
+def wide_integral(q1: Column, q2: Column, q3: Column, start: Column, width: int) -> Column:
+    """Integral of a window of a decimated trace, from the charge at full bandwidth."""
+    return integral(*[F.slice(q, 3 * start + 1, 3 * width) for q in (q1, q2, q3)])
+
+
+def reduced(trace: Column, at: Column, how: Callable[[Column], Column], before: int = C.CUT_BEFORE, after: int = C.DEAD_BINS) -> Column:
+    """What `how` (the largest bin, their sum) makes of the cut around a hit."""
+    return how(cut_around(trace, at, before, after))
+
+
 def integral(p1: Column, p2: Column, p3: Column) -> Column:
     """Mean over PMTs of the charge in the window."""
     return (A.total(p1) + A.total(p2) + A.total(p3)) / 3
@@ -44,9 +71,11 @@ def first_match(labelled: DataFrame, key: str) -> DataFrame:
 
 
 def label(has_signal: Column, particles: Column, integral_: Column, ignore_particles: float, ignore_charge: float) -> Column:
-    """BKG without signal; PRT with too few particles (tested first); INT with too little charge; else SIG."""
+    """BKG without signal; PRT with too few particles (tested first); INT with too little charge; else SIG.  A NaN
+    integral raises."""
     return (
-        F.when(~has_signal, "BKG")
+        F.when(F.isnan(integral_.cast("double")), F.raise_error(F.lit("an integral isn't a number")).cast("string"))
+        .when(~has_signal, "BKG")
         .when(particles <= ignore_particles, "PRT")
         .when(integral_ <= ignore_charge, "INT")
         .otherwise("SIG")

@@ -78,8 +78,8 @@ def efficiency_grid(spark, sf_dir):
 k AS (SELECT *, n * (i / 10.0) + 0.4 + 0.2 * (i / 10.0) AS a FROM i), h AS (SELECT *, greatest(1, least(floor(a), n - 1)) AS k FROM k)
 SELECT e, i::INT AS i, round((1 - greatest(0, least(1, a - k))) * v[k::INT] + greatest(0, least(1, a - k)) * v[least(k + 1, n)::INT], 6) AS edge FROM h""")
 def quantile_bins(spark, sf_dir):
-    v = _grid(spark, sf_dir).groupBy("e").agg(F.sort_array(F.collect_list("l_quantity")).alias("v")).where("size(v) >= 20")
-    return v.select("e", F.posexplode(metrics.quantiles(F.col("v"), 10)).alias("i", "x")).select("e", "i", F.round("x", 6).alias("edge"))
+    q = metrics.quantiles(_grid(spark, sf_dir), ["e"], "l_quantity", bins=10, least=20)
+    return q.select("e", "i", F.round("edge", 6).alias("edge"))
 
 
 _LOG = tuple(round(10 ** (3 + 2.2 * i / 20), 6) for i in range(21))
@@ -125,8 +125,9 @@ def component_efficiency(spark, sf_dir):
 
 @query(f"""WITH {_GRID} SELECT e, t, spd, grouping_id(e, t, spd)::BIGINT AS kind, count(*) AS n, count(*) FILTER (WHERE hit) AS chosen FROM g GROUP BY GROUPING SETS ((e), (t), (spd))""")
 def physics_histograms(spark, sf_dir):
-    _grid(spark, sf_dir).createOrReplaceTempView("tracelake_grid")
-    return spark.sql("SELECT e, t, spd, grouping_id(e, t, spd) AS kind, count(*) AS n, count_if(hit) AS chosen FROM tracelake_grid GROUP BY GROUPING SETS ((e), (t), (spd))")
+    e, t, spd = F.col("e"), F.col("t"), F.col("spd")
+    g = _grid(spark, sf_dir).groupingSets([[e], [t], [spd]], e, t, spd)
+    return g.agg(F.grouping_id(e, t, spd).alias("kind"), F.count("*").alias("n"), F.count_if("hit").alias("chosen"))
 
 
 @query("""WITH x AS (SELECT l_orderkey % 50 AS batch, l_returnflag = 'R' AS s FROM lineitem) SELECT batch, count(*) FILTER (WHERE s) AS n_sig, count(*) AS n, round(count(*) FILTER (WHERE s) / count(*), 8) AS prior FROM x GROUP BY 1""")

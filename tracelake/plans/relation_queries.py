@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tracelake.functions import arrays as A
 from tracelake.operators import joins, sampling, triggers
 from tracelake.plans.registry import query, table
+from tracelake.sources import extracts, sinks
 from tracelake.streaming import triggers as streams
 
 
-@query("""WITH s AS (SELECT s_suppkey, s_nationkey AS bin FROM supplier WHERE s_suppkey % 2 = 0), o AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 3),
-p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), t AS (SELECT bin, count(*) AS n FROM s GROUP BY 1),
-h AS (SELECT l_orderkey, bin, count(*) AS hits FROM p JOIN s ON l_suppkey = s_suppkey GROUP BY 1, 2)
-SELECT o_orderkey AS event, t.bin, coalesce(hits, 0) AS hits, n - coalesce(hits, 0) AS misses FROM o CROSS JOIN t LEFT JOIN h ON h.l_orderkey = o_orderkey AND h.bin = t.bin""")
-def hits_and_misses(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("station"), F.col("s_nationkey").alias("x"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 3").select(F.col("o_orderkey").alias("event"))
-    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_suppkey").alias("station"))
-    return joins.hits_and_misses(o, s, p.join(o, "event", "left_semi"), "event", "station", F.col("x"))
-
-
 @query("""WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), t AS (SELECT s_nationkey AS bin, count(*) AS n FROM supplier GROUP BY 1),
 h AS (SELECT l_orderkey, s_nationkey AS bin, count(*) AS hits FROM p JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)
 SELECT o_orderkey AS event, t.bin, coalesce(hits, 0) AS hits, n - coalesce(hits, 0) AS misses FROM orders CROSS JOIN t LEFT JOIN h ON h.l_orderkey = o_orderkey AND h.bin = t.bin""")
-def hits_and_misses_all(spark, sf_dir):
-    """Like hits_and_misses, over all orders and suppliers."""
+def hits_and_misses(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("station"), F.col("s_nationkey").alias("x"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event"))
     p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_suppkey").alias("station"))
@@ -70,12 +57,12 @@ def natural_join(spark, sf_dir):
     return joins.natural(joins.natural(c, F.broadcast(n)), F.broadcast(r)).groupBy("n_name", "r_name").agg(F.count("*").alias("n"))
 
 
-@query("""WITH g AS (SELECT unnest(range(0, 60)) AS scale), r AS (SELECT l_quantity::BIGINT AS scale, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS t FROM lineitem WHERE l_quantity % 3 <> 0 GROUP BY 1),
+@query("""WITH g AS (SELECT unnest(range(0, 60)) AS scale), r AS (SELECT l_quantity::BIGINT AS scale, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS t FROM lineitem GROUP BY 1),
 e AS (SELECT ps AS scale, count(*) AS parts FROM (SELECT p_size::BIGINT AS ps FROM part) GROUP BY 1)
 SELECT g.scale, coalesce(n, 0) AS n_traces, coalesce(t, 0) AS n_all, parts FROM g LEFT JOIN r USING (scale) JOIN e USING (scale)""")
 def backfilled_scan(spark, sf_dir):
     g = spark.range(60).select(F.col("id").alias("scale"))
-    r = table(spark, sf_dir, "lineitem").where("l_quantity % 3 <> 0").groupBy(F.col("l_quantity").cast("long").alias("scale")).agg(
+    r = table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").cast("long").alias("scale")).agg(
         F.count("*").alias("n_traces"), F.count_if(F.col("l_returnflag") == "R").alias("n_all"))
     e = table(spark, sf_dir, "part").groupBy(F.col("p_size").cast("long").alias("scale")).agg(F.count("*").alias("parts"))
     return joins.with_defaults(g, r, ["scale"], {"n_traces": 0, "n_all": 0}).join(e, "scale").select("scale", F.col("n_traces").cast("long"), F.col("n_all").cast("long"), "parts")
@@ -90,11 +77,11 @@ def crowns(spark, sf_dir):
     return joins.within_hops(joins.hex_edges(s, "id", "q", "r"), s.agg(F.min("id").alias("node")), 4)
 
 
-@query("""WITH n AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS slot FROM part WHERE p_size = 7)
-SELECT c.c_custkey, n.p_partkey FROM (SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) % (SELECT count(*) FROM n) AS slot FROM customer) c JOIN n USING (slot)""")
+@query("""WITH n AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS slot FROM part)
+SELECT o.o_orderkey, n.p_partkey FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) % (SELECT count(*) FROM n) AS slot FROM orders) o JOIN n USING (slot)""")
 def assigned_noise(spark, sf_dir):
-    noise = table(spark, sf_dir, "part").where("p_size = 7").select("p_partkey")
-    return joins.round_robin(table(spark, sf_dir, "customer").select("c_custkey"), noise, ["c_custkey"], ["p_partkey"], max(1, noise.count()))
+    noise = table(spark, sf_dir, "part").select("p_partkey")
+    return joins.round_robin(table(spark, sf_dir, "orders").select("o_orderkey"), noise, "o_orderkey", "p_partkey")
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_returnflag <> 'N' AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber, l_partkey) AS k FROM lineitem)
@@ -184,10 +171,10 @@ def combined_outcomes(spark, sf_dir):
     return both.groupBy(moved.alias("outcome")).agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("stations"))
 
 
-@query("""SELECT l_orderkey, count(DISTINCT l_suppkey) AS kinds, sum(l_quantity)::BIGINT AS q FROM lineitem WHERE l_suppkey < 90
+@query("""SELECT l_orderkey, count(DISTINCT l_suppkey) AS kinds, sum(l_quantity)::BIGINT AS q FROM lineitem WHERE l_suppkey < 90000
 AND l_extendedprice < CASE floor(log10(l_extendedprice)) WHEN 3 THEN 8000 WHEN 4 THEN 60000 ELSE 1e9 END GROUP BY 1 HAVING count(*) = 3 AND count(DISTINCT l_suppkey) > 1""")
 def station_filters(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_suppkey < 90")  # noqa: E741
+    l = table(spark, sf_dir, "lineitem").where(extracts.in_array(F.col("l_suppkey")))  # noqa: E741
     decade = F.floor(F.log10("l_extendedprice"))
     l = l.where(F.col("l_extendedprice") < F.when(decade == 3, 8000).when(decade == 4, 60000).otherwise(1e9))  # noqa: E741
     g = l.groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("kinds"), F.sum("l_quantity").cast("long").alias("q"), F.count("*").alias("n"))
@@ -212,25 +199,24 @@ def stream_dead_time(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     hits = e.where("value > 20").select("user_id", F.floor(joins.micros("ts") / 1000000).cast("long").alias("at"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    base = f"{base}/stream-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, id(hits))))}"
+    base = sinks.scratch(spark, "stream")
     streams.drain(streams.dead_time(hits, "user_id", "at", 43200), f"{base}/out", f"{base}/state")
     return spark.read.schema("user_id long, at long").parquet(f"{base}/out")
 
 
-@query("""WITH e AS (SELECT user_id, epoch_us(ts) // 60000000 AS m, value FROM events WHERE event_type = 'error'), w AS (SELECT user_id, value, unnest(range(m // 60 - 5, m // 60 + 1)) AS s FROM e)
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) // 60000000 AS m, value FROM events), w AS (SELECT user_id, value, unnest(range(m // 60 - 5, m // 60 + 1)) AS s FROM e)
 SELECT user_id, s * 3600 AS start, count(*) FILTER (WHERE value > 10) AS n FROM w GROUP BY 1, 2""")
 def sliding_window_counts(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    e = table(spark, sf_dir, "events")
     w = e.groupBy("user_id", F.window("ts", "6 hours", "1 hour").alias("w")).agg(F.count_if(F.col("value") > 10).alias("n"))
     return w.select("user_id", F.floor(joins.micros("w.start") / 1000000).cast("long").alias("start"), "n")
 
 
-@query("""WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'signup')
+@query("""WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events)
 SELECT a.event_id AS a, b.event_id AS b FROM e a JOIN e b ON b.t BETWEEN a.t - 60000000 AND a.t + 60000000 AND a.user_id < b.user_id""")
 def time_coincidence(spark, sf_dir):
     """Pairs within a minute: each event is put into its minute and both neighbours, so it is an equi-join."""
-    e = table(spark, sf_dir, "events").where("event_type = 'signup'").select("event_id", "user_id", joins.micros("ts").alias("t"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", joins.micros("ts").alias("t"))
     a = e.select(F.col("event_id").alias("a"), F.col("user_id").alias("ua"), F.col("t").alias("ta"), F.expr("t div 60000000").alias("m"))
     b = e.select(F.col("event_id").alias("b"), F.col("user_id").alias("ub"), F.col("t").alias("tb"), F.explode(F.expr("sequence(t div 60000000 - 1, t div 60000000 + 1)")).alias("m"))
     return a.join(b, "m").where("abs(ta - tb) <= 60000000 AND ua < ub").select("a", "b")

@@ -219,32 +219,84 @@ def trace_filters(spark, sf_dir):
     )
 
 
-@query()
+_MOPS = f"""{TRI}, b AS (SELECT station, pmt, unnest(x) AS v, unnest(range(len(x))) AS pos, x FROM (SELECT station, unnest([1, 2, 3]) AS pmt, unnest([p1, p2, p3]) AS x FROM ti)),
+d AS (SELECT *, v - lag(v) OVER (PARTITION BY station, pmt ORDER BY pos) AS step FROM b),
+u AS (SELECT *, pos - row_number() OVER (PARTITION BY station, pmt ORDER BY pos) AS g FROM d WHERE step > 0),
+f AS (SELECT station, pmt, min(pos) - 1 AS lo, max(pos) AS hi, any_value(x) AS x FROM u GROUP BY station, pmt, g HAVING count(*) >= 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY station, pmt ORDER BY lo) AS k FROM f),
+r AS (SELECT station, pmt, 0::BIGINT AS k, 0::BIGINT AS until, 0::BIGINT AS n FROM (SELECT DISTINCT station, pmt FROM k)
+  UNION ALL SELECT r.station, r.pmt, k.k, CASE WHEN hi - greatest(lo, until) >= 1 THEN hi + greatest(floor(log2(x[hi + 1] - x[greatest(lo, until) + 1]) - 2 + 1e-9), 0)::BIGINT ELSE until END,
+    n + CASE WHEN hi - greatest(lo, until) >= 1 AND x[hi + 1] - x[greatest(lo, until) + 1] > 3 AND x[hi + 1] - x[greatest(lo, until) + 1] < 150 THEN 1 ELSE 0 END
+  FROM r JOIN k ON k.station = r.station AND k.pmt = r.pmt AND k.k = r.k + 1),
+c AS (SELECT station, pmt, max(n) AS n FROM r GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {_MOPS} SELECT t.station, coalesce(max(n) FILTER (WHERE pmt = 1), 0)::INT AS n1, coalesce(max(n) FILTER (WHERE pmt = 2), 0)::INT AS n2, coalesce(max(n) FILTER (WHERE pmt = 3), 0)::INT AS n3,
+count(*) FILTER (WHERE n > 4 AND list_sum(CASE pmt WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END) > 36) >= 2 AS fired FROM ti t LEFT JOIN c ON c.station = t.station GROUP BY 1""")
 def mops_trigger(spark, sf_dir):
-    return triggers.multiple_flanks(stations(spark, sf_dir), "station", C.Q_PEAK)
-
-
-@query()
+    n = [triggers.flank_count(F.col(p), 3.0, 150.0).alias(f"n{i + 1}") for i, p in enumerate(P)]
+    s = integer_stations(spark, sf_dir).select("station", *P, *n)
+    hits = [F.when((A.total(F.col(p)) > 36) & (F.col(f"n{i + 1}") > 4), 1).otherwise(0) for i, p in enumerate(P)]
+    return s.select("station", "n1", "n2", "n3", (hits[0] + hits[1] + hits[2] >= 2).alias("fired"))
+
+
+def _estimates(source: str) -> str:
+    """The baseline estimator over rows (station, part, x) as a recursion: each turn drops what is far from the mode."""
+    mode = "CASE WHEN list_max(x) > list_min(x) THEN list_min(x) + list_position(cnt, list_max(cnt)) - 1 ELSE x[1] END"
+    return f"""z AS (SELECT station, part, x, 0 AS turn FROM ({source}) UNION ALL SELECT station, part, kept, turn + 1 FROM (
+  SELECT station, part, x, turn, list_filter(x, lambda v: abs(v - m) <= 2 * sd) AS kept FROM (SELECT *, {mode} AS m, list_stddev_pop(x) AS sd FROM (
+    SELECT *, list_transform(range(list_min(x)::BIGINT, list_max(x)::BIGINT), lambda c: len(list_filter(x, lambda v: v = c))) AS cnt FROM z))) WHERE len(kept) < len(x) AND len(kept) > 0),
+est AS (SELECT station, part, arg_max(list_avg(x), turn) AS mean, arg_max(list_stddev_pop(x), turn) AS spread FROM z GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {TRI}, {_estimates("SELECT station, unnest([1, 2, 3]) AS part, unnest([p1, p2, p3]) AS x FROM ti")}
+SELECT station, part::INT AS pmt, round(mean, 6) AS mean, round(spread, 6) AS spread FROM est""")
+def baseline_estimates(spark, sf_dir):
+    s = integer_stations(spark, sf_dir).select("station", F.posexplode(F.array(*_p())).alias("pmt", "x"))
+    e = baseline.estimates(s.withColumn("pmt", F.col("pmt") + 1), ["station", "pmt"], "x")
+    return e.select("station", "pmt", F.round("mean", 6).alias("mean"), F.round("spread", 6).alias("spread"))
+
+
+@query(f"""WITH RECURSIVE {TRI}, {_estimates("SELECT station, unnest([1, 2, 3]) AS part, unnest([p1[1:16], p1[49:64], p1]) AS x FROM ti")},
+j AS (SELECT t.station, p1, a.mean AS b0, b.mean AS b1, w.mean AS bw, b.mean - a.mean AS d, sqrt(a.spread ** 2 + b.spread ** 2) AS s, list_position(p1, list_max(p1)) AS top FROM ti t JOIN est a ON a.station = t.station AND a.part = 1
+  JOIN est b ON b.station = t.station AND b.part = 2 JOIN est w ON w.station = t.station AND w.part = 3),
+k AS (SELECT *, CASE WHEN d >= 5 * s THEN 'rejected' WHEN d >= 0 THEN 'constant' WHEN d >= -s OR list_max(p1) - b0 < 50 THEN 'step' ELSE 'undershoot' END AS status FROM j)
+SELECT station, status, round(CASE status WHEN 'constant' THEN list_sum(p1) - 64 * bw WHEN 'step' THEN list_sum(p1) - (top - 1) * b0 - (65 - top) * b1 ELSE list_sum(p1) END, 5) AS total FROM k""")
 def corrected_baselines(spark, sf_dir):
-    s = integer_stations(spark, sf_dir).select("station", "p1")
-    return baseline.correct(s, "p1", edge=16).groupBy("status").agg(F.count("*").alias("n"))
+    s = baseline.correct(integer_stations(spark, sf_dir).select("station", "p1"), "p1", edge=16)
+    return s.select("station", "status", F.round(A.total(F.col("p1")), 5).alias("total"))
 
 
-@query()
+@query(f"""WITH {TRI}, x AS (SELECT station, label, list_transform(range(1, 65), lambda i: p1[i] + p2[i] + p3[i]) AS x FROM ti),
+f AS (SELECT station, label, f, list_sum(list_transform(range(64), lambda i: x[i + 1] * cos(2 * pi() * f * i / 64))) AS re, list_sum(list_transform(range(64), lambda i: x[i + 1] * sin(2 * pi() * f * i / 64))) AS im
+  FROM (SELECT *, unnest(range(64)) AS f FROM x)),
+s AS (SELECT label, f, avg(re * re + im * im) AS m FROM f GROUP BY 1, 2) SELECT f::INT AS freq, round(avg(m), 3) AS power FROM s GROUP BY 1""")
 def power_spectra(spark, sf_dir):
-    s = stations(spark, sf_dir).select("label", A.pool_mean(*_p()).alias("x"))
-    return baseline.spectra(s, "label", "x")
+    s = integer_stations(spark, sf_dir).select("label", A.add(*_p()).alias("x"))
+    return baseline.spectra(s, ["label"], "x").select("freq", F.round("power", 3).alias("power"))
+
+
+_LIFE = f"""{TRI}, w AS (SELECT station, label, unnest(range(0, 64 - {W} + 1, 5)) AS s, p1, p2, p3 FROM ti),
+i AS (SELECT station, s, label, (list_sum(p1[s + 1:s + {W}]) + list_sum(p2[s + 1:s + {W}]) + list_sum(p3[s + 1:s + {W}])) / 3 / {C.Q_CHARGE} AS q,
+  (len(list_filter(p1[s + 1:s + {W}], lambda v: greatest({C.CLIP_LOW}, v) / 100 > 0.5)) >= 8)::INT + (len(list_filter(p2[s + 1:s + {W}], lambda v: greatest({C.CLIP_LOW}, v) / 100 > 0.5)) >= 8)::INT
+  + (len(list_filter(p3[s + 1:s + {W}], lambda v: greatest({C.CLIP_LOW}, v) / 100 > 0.5)) >= 8)::INT >= 2 AS fired FROM w)"""
 
 
-@query()
+@query(f"""WITH {_LIFE}, t AS (SELECT station, bool_or(fired) AS hit FROM i GROUP BY 1), n AS (SELECT count(*) AS n_traces, count(*) FILTER (WHERE hit) AS n FROM t)
+SELECT n_traces, n, round(n_traces * (2048 * 8.3e-9), 9) AS duration, round(n / (n_traces * (2048 * 8.3e-9)), 3) AS rate, round(sqrt(n) / (n_traces * (2048 * 8.3e-9)), 3) AS rate_err FROM n""")
 def noise_lifecycle(spark, sf_dir):
     s = integer_stations(spark, sf_dir).select("station", *P)
     options = C.TraceOptions(window=W, step=5, q_peak=100.0)
-    return lifecycles.noise_rate(s, "station", options, lambda *p: triggers.over_threshold(*p, level=0.5, bins=8))
+    out = lifecycles.noise_rate(s, "station", options, lambda *p: triggers.over_threshold(*p, level=0.5, bins=8))
+    return out.select("n_traces", "n", F.round("duration", 9).alias("duration"), F.round("rate", 3).alias("rate"), F.round("rate_err", 3).alias("rate_err"))
 
 
-@query()
+@query(f"""WITH {_LIFE}, l AS (SELECT *, CASE WHEN label % 4 = 0 THEN 'BKG' WHEN label <= 2 THEN 'PRT' WHEN q <= 0 THEN 'INT' ELSE 'SIG' END AS lab FROM i),
+t AS (SELECT station, min(s) FILTER (WHERE lab = 'SIG' AND fired) AS tp, max(q) FILTER (WHERE NOT fired) AS top FROM l GROUP BY 1)
+SELECT l.station, l.s::INT AS start, 'FP' AS outcome, NULL::DOUBLE AS integral FROM l JOIN t USING (station) WHERE lab <> 'SIG' AND fired AND (tp IS NULL OR s < tp)
+UNION ALL SELECT station, tp::INT, 'TP', NULL FROM t WHERE tp IS NOT NULL UNION ALL SELECT station, NULL, 'FN', round(top, 6) FROM t WHERE tp IS NULL""")
 def prediction_lifecycle(spark, sf_dir):
     s = integer_stations(spark, sf_dir)
     options = C.TraceOptions(window=W, step=5, q_peak=100.0, ignore_particles=2)
-    return lifecycles.predictions(s, "station", options, F.col("label") % 4 != 0, F.col("label"), lambda *p: triggers.over_threshold(*p, level=0.5, bins=8))
+    out = lifecycles.predictions(s, "station", options, F.col("label") % 4 != 0, F.col("label"), lambda *p: triggers.over_threshold(*p, level=0.5, bins=8))
+    return out.withColumn("integral", F.round("integral", 6))
