@@ -39,7 +39,7 @@ def sparse_grid(grid: DataFrame, cell: list[str], hit: str = "hits", miss: str =
 def bins_for(count: Column, first: Column) -> Column:
     """How many edges so many values are cut by: values per bin start at `first` and go down by 10 until there are
     more than 7 bins, or the next step would come to 50 or fewer."""
-    size = lambda k: first - 10 * k
+    size = lambda k: F.greatest(first - 10 * k, F.lit(1))
     enough = lambda k: (F.floor(count / size(k)) - 1 > 7) | (size(k + 1) <= 50)
     k = F.element_at(F.filter(F.sequence(F.lit(0), F.greatest(F.ceil(first / 10).cast("int"), F.lit(0))), enough), 1)
     return F.floor(count / size(k)).cast("int")
