@@ -180,11 +180,11 @@ class Trees:
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the least-squares non-decreasing fit, by pooling adjacent violators."""
-    order = np.argsort(x, kind="stable")
+    at, which = np.unique(x, return_inverse=True)  # equal places have one value
     blocks: list[list[float]] = []
-    for a, b in zip(x[order].tolist(), y[order].tolist()):
-        blocks.append([b, 1.0, a, a])
-        while len(blocks) > 1 and (blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1] or blocks[-2][3] == blocks[-1][2]):
+    for a, total, n in zip(at.tolist(), np.bincount(which, y).tolist(), np.bincount(which).tolist()):
+        blocks.append([total, n, a, a])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
     knots = np.array([k for b in blocks for k in ((b[2], b[0] / b[1]), (b[3], b[0] / b[1]))])
