@@ -88,41 +88,43 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
     schema = pa.schema([("block", pa.int32()), ("part", pa.int64()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << SKETCH_BITS, np.int64)
+        cells = np.zeros(1 << SKETCH_BITS, np.int32)
         for rows in batches:
             for piece in slices(rows):
                 found = [shingles(data, k) for data in texts_of(piece.column("text"))]
                 at = (np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                cells += np.bincount(at, minlength=len(cells))
-        parts = np.minimum(cells, 0xFF).astype(np.uint8).reshape(-1, SKETCH_BLOCK)
+                cells += np.bincount(at, minlength=len(cells)).astype(np.int32)
+                np.minimum(cells, 0xFF, out=cells)
+        parts = cells.astype(np.uint8).reshape(-1, SKETCH_BLOCK)
         task = TaskContext.get().partitionId()
         yield batch(schema, [range(len(parts)), [task] * len(parts), [p.tobytes() for p in parts]])
 
-    def add(key: tuple, rows: pa.Table) -> pa.Table:
-        total = np.zeros(SKETCH_BLOCK, np.int64)
-        for data in rows.column("counts"):
-            kind = np.uint8 if len(data.as_buffer()) == SKETCH_BLOCK else "<u4"
-            total += np.frombuffer(data.as_buffer(), kind)
-        out = np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()
-        return pa.Table.from_batches([batch(schema, [[key[0].as_py()], [key[1].as_py()], [out]])])
+    def added(last: bool):
+        """Sum of some tasks' blocks; the last one gives levels.  (In a step of its own, that would be a second
+        Python worker beside the first in each task, and workers stay.)"""
+
+        def add(key: tuple, rows: pa.Table) -> pa.Table:
+            total = np.zeros(SKETCH_BLOCK, np.int64)
+            for data in rows.column("counts"):
+                kind = np.uint8 if len(data.as_buffer()) == SKETCH_BLOCK else "<u4"
+                total += np.frombuffer(data.as_buffer(), kind)
+            total = np.minimum(total, 0xFFFFFFFF)
+            out = np.log2(np.maximum(total, 1)).astype(np.uint8) if last else total.astype("<u4")
+            return pa.Table.from_batches([batch(schema, [[key[0].as_py()], [key[1].as_py()], [out.tobytes()]])])
+
+        return add
 
     text = "block int, part long, counts binary"
     sums = docs.select("text").mapInArrow(count, text)
     tasks = docs.rdd.getNumPartitions()
     while True:
-        sums = sums.withColumn("part", F.expr("part div 64")).groupBy("block", "part").applyInArrow(add, text)
         tasks = -(-tasks // 64)
+        sums = sums.withColumn("part", F.expr("part div 64")).groupBy("block", "part").applyInArrow(added(tasks <= 1), text)
         if tasks <= 1:
             break
-
-    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            found = [np.log2(np.maximum(np.frombuffer(c.as_buffer(), "<u4"), 1)).astype(np.uint8).tobytes() for c in rows.column("counts")]
-            yield batch(schema, [rows.column("block"), rows.column("part"), found])
-
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     with tidy(docs.sparkSession):
-        found = sums.mapInArrow(levels, text).collect()  # as many cells as the sketch has, whatever the input
+        found = sums.collect()  # as many cells as the sketch has, whatever the input
     for row in found:
         out[row.block * SKETCH_BLOCK : (row.block + 1) * SKETCH_BLOCK] = np.frombuffer(row.counts, np.uint8)
     return out
