@@ -41,7 +41,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tracelake.llm.common import batch, cut, drop, fan_out, fresh, row_key, runs, slices, texts_of
 
 GRAM = 32
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 POSITION = np.uint64((1 << 23) - 1)
 ODD = np.random.default_rng(7).integers(1, 2**63, 32, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 SYMBOL = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
