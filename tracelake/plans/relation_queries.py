@@ -220,3 +220,26 @@ def time_coincidence(spark, sf_dir):
     a = e.select(F.col("event_id").alias("a"), F.col("user_id").alias("ua"), F.col("t").alias("ta"), F.expr("t div 60000000").alias("m"))
     b = e.select(F.col("event_id").alias("b"), F.col("user_id").alias("ub"), F.col("t").alias("tb"), F.explode(F.expr("sequence(t div 60000000 - 1, t div 60000000 + 1)")).alias("m"))
     return a.join(b, "m").where("abs(ta - tb) <= 60000000 AND ua < ub").select("a", "b")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events) SELECT a.t AS t1, a.user_id AS s1, b.t AS t2, b.user_id AS s2 FROM e a JOIN e b ON b.t BETWEEN a.t - 60000000 AND a.t + 60000000 AND a.user_id < b.user_id""")
+def stream_coincidences(spark, sf_dir):
+    """Triggers of different stations within a minute, as a join of two streams."""
+    schema = table(spark, sf_dir, "events").schema
+    a, b = (spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp")) for _ in range(2))
+    found = streams.coincidences(a, b, "ts", "user_id", 60, "1 hour")
+    base = sinks.scratch(spark, "coincidences")
+    streams.drain(found.select(joins.micros("t1").alias("t1"), "s1", joins.micros("t2").alias("t2"), "s2"), f"{base}/out", f"{base}/state")
+    return spark.read.schema("t1 long, s1 long, t2 long, s2 long").parquet(f"{base}/out")
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t, value FROM events), w AS (SELECT user_id, value, unnest(range(t // 3600000000 - 5, t // 3600000000 + 1)) AS s FROM e)
+SELECT user_id, s * 3600 AS start, count(*) FILTER (WHERE value > 10) AS n FROM w WHERE (s + 6) * 3600000000 <= (SELECT max(t) FROM e) - 7200000000 GROUP BY 1, 2""")
+def stream_sliding_counts(spark, sf_dir):
+    """Sliding windows over the stream: those that the watermark, two hours behind, has closed."""
+    schema = table(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("hit", F.col("value") > 10).withColumn("ts", F.col("ts").cast("timestamp"))
+    w = streams.sliding_counts(e, "user_id", "ts", "hit", "6 hours", "1 hour", "2 hours")
+    base = sinks.scratch(spark, "sliding")
+    streams.drain(w.select("user_id", F.floor(joins.micros("start") / 1000000).cast("long").alias("start"), "n"), f"{base}/out", f"{base}/state")
+    return spark.read.schema("user_id long, start long, n long").parquet(f"{base}/out")
