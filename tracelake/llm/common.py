@@ -55,6 +55,12 @@ def tidy(spark: SparkSession) -> contextlib.AbstractContextManager:
     return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def plain(spark: SparkSession) -> contextlib.AbstractContextManager:
+    """Run without generating code for whole stages, which the driver would compile and hold: for a few integers a
+    row that takes longer, and more memory, than it saves."""
+    return _setting(spark, "spark.sql.codegen.wholeStage", "false")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _FOLDERS.add(folder)
@@ -78,10 +84,9 @@ def clean_up(spark: SparkSession) -> None:
 def cut(spark: SparkSession, df: DataFrame, name: str = "cut", narrow: bool = False) -> DataFrame:
     """Materialise in the shared folder as a compressed columnar table, and cut the lineage there.
 
-    A `narrow` table, a step of many in an iteration, is made without generating code for whole stages, which the
-    driver would compile and hold: for a few integers a row that takes longer, and more memory, than it saves."""
+    A `narrow` table, a step of many in an iteration, is made as :func:`plain` says."""
     path = new_folder(spark, name)
-    with tidy(spark), _setting(spark, "spark.sql.codegen.wholeStage", "false") if narrow else contextlib.nullcontext():
+    with tidy(spark), plain(spark) if narrow else contextlib.nullcontext():
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracelake_folder = path

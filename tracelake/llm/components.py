@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import cut, drop
+from tracelake.llm.common import cut, drop, plain, tidy
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -34,10 +34,8 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
     def mark(df: DataFrame) -> tuple:
         sums = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
-        made = cut(spark, sums, "sums", narrow=True)
-        out = tuple(made.first())
-        drop(spark, made)
-        return out
+        with tidy(spark), plain(spark):
+            return tuple(sums.first())
 
     seen = mark(pairs)
     while seen[0]:
