@@ -66,6 +66,17 @@ def within_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def hop_pairs(edges: DataFrame, hops: int) -> DataFrame:
+    """start, node, hops: for every node the nodes within so many hops and their least number, itself included."""
+    seen = edges.select(F.col("src").alias("start")).distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("hops"))
+    front = seen
+    for h in range(1, hops + 1):
+        front = front.select("start", F.col("node").alias("src")).join(edges, "src").select("start", F.col("dst").alias("node")).distinct()
+        front = front.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(h))
+        seen = seen.unionByName(front)
+    return seen
+
+
 def round_robin(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
     """Give each left row the next right row in turn.  Both are numbered by buckets of their order, so no task
     holds all rows of either."""

@@ -74,6 +74,25 @@ def uniform_bin(x: Column, low: float, high: float, bins: int) -> Column:
     return F.when(x == high, bins - 1).when((x >= low) & (x < high), b)
 
 
+#: Showers in the flux histogram, and the inverse weights of a perfect trigger.
+SHOWERS, PERFECT = 50072, 3.329e11
+
+
+def flux_weight(energy: Column, least: float, most: float) -> Column:
+    """Weight of a true positive by the flux, which falls with the third power of the energy."""
+    return 100 * F.lit(most) * F.pow(energy / least, F.lit(-3.0))
+
+
+def flux_accuracy(inverse: Column, n: Column) -> Column:
+    """Sum of the inverse weights of n positives relative to a perfect trigger's."""
+    return inverse * SHOWERS / (n * n) / PERFECT
+
+
+def near_angle(spd: Column, angle: Column, centre: float, tolerance: float, spacing: float = 1500.0) -> Column:
+    """Within the array's spacing, and from a tolerance below the angle up to one above it."""
+    return (spd <= spacing) & (angle >= centre - tolerance) & (angle < centre + tolerance)
+
+
 def best(df: DataFrame, model: str, score: Column) -> DataFrame:
     """The model with the least score, the smaller name of equals."""
     return df.agg(F.min_by(model, F.struct(score, F.col(model))).alias(model))

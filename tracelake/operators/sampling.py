@@ -60,3 +60,12 @@ def interleaved(signal: DataFrame, order: str, u: Column, prior: float) -> DataF
     rows = signal.withColumn("skipped", F.floor(F.log(1 - u) / F.log(F.lit(1 - prior))).cast("bigint")).withColumn("_bucket", quantile_bucket(signal, order))
     rows = running(rows, [], "_bucket", [order], F.col("skipped") + 1, "_before")
     return rows.withColumn("place", F.col("_before") + F.col("skipped")).drop("_before", "_bucket")
+
+
+def resampled(batches: DataFrame, batch: str, usable: Column, u: Column) -> DataFrame:
+    """Each batch with the batch that it is served by: itself where it is usable, else one drawn from those by u."""
+    marked = batches.withColumn("_usable", usable).withColumn("_u", u)
+    good = numbered(marked.where("_usable").select(batch), batch, "_slot").withColumnRenamed(batch, "served")
+    n = good.count()
+    drawn = marked.where("NOT _usable").withColumn("_slot", F.floor(F.col("_u") * n).cast("long")).join(good, "_slot")
+    return marked.where("_usable").select(batch, F.col(batch).alias("served")).unionByName(drawn.select(batch, "served"))

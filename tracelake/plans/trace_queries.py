@@ -77,10 +77,10 @@ def _fir_sql(p, phase):
     return f"list_transform(range({phase}, 63, 3), lambda k: trunc(list_sum(list_transform(range(1, 22), lambda j: ({pad})[k + j] * ({_TAPS})[j])))::BIGINT >> 11)"
 
 
-@query(f"WITH {TRI} SELECT station, {', '.join(_digest_sql(_fir_sql('p1', k), f'ph{k}') for k in range(3))} FROM ti")
+@query(f"WITH {TRI} SELECT station, {', '.join(_digest_sql(_fir_sql(p, k), f'{p}_ph{k}') for p in P for k in range(3))} FROM ti")
 def fir_downsample(spark, sf_dir):
-    s = integer_stations(spark, sf_dir).withColumns({f"ph{k}": A.downsample(F.col("p1"), k) for k in range(3)})
-    return s.select("station", *[c for k in range(3) for c in _digest(f"ph{k}")])
+    s = integer_stations(spark, sf_dir).withColumns({f"{p}_ph{k}": A.downsample(F.col(p), k) for p in P for k in range(3)})
+    return s.select("station", *[c for p in P for k in range(3) for c in _digest(f"{p}_ph{k}")])
 
 
 @query(f"""WITH {TRI}, f AS (SELECT station, {', '.join(f"{_fir_sql(p, k)} AS {p}_{k}" for p in P for k in range(3))} FROM ti)
@@ -89,13 +89,19 @@ def any_phase_trigger(spark, sf_dir):
     return lifecycles.any_phase(integer_stations(spark, sf_dir), "station", lambda *p: triggers.threshold(*p, level=40.0))
 
 
-@query(f"""WITH {TR} SELECT station, {_digest_sql("list_transform(p1, lambda v: greatest(-100, least(120, floor(1000 * v))))", "adc")},
-{_digest_sql("list_filter(list_transform(p1, lambda v: floor(1000 * v)), lambda v, i: (i - 1) % 3 = 1)", "dec")} FROM tr""")
+def _digits_sql(p):
+    adc = f"list_transform({p}, lambda v: greatest(-100, least(120, floor(1000 * v))))"
+    dec = f"list_filter(list_transform({p}, lambda v: floor(1000 * v)), lambda v, i: (i - 1) % 3 = 1)"
+    return f"{_digest_sql(adc, f'{p}_adc')}, {_digest_sql(dec, f'{p}_dec')}"
+
+
+@query(f"""WITH {TR} SELECT station, {', '.join(_digits_sql(p) for p in P)} FROM tr""")
 def digitised_trace(spark, sf_dir):
     s = stations(spark, sf_dir)
-    x = A.scale(F.col("p1"), 1000.0)
-    s = s.withColumn("adc", A.digitise(x, 1.0, -100.0, 120.0)).withColumn("dec", A.decimate(A.digitise(x, 1.0, -1e9, 1e9), 1))
-    return s.select("station", *_digest("adc"), *_digest("dec"))
+    for p in P:
+        x = A.scale(F.col(p), 1000.0)
+        s = s.withColumn(f"{p}_adc", A.digitise(x, 1.0, -100.0, 120.0)).withColumn(f"{p}_dec", A.decimate(A.digitise(x, 1.0, -1e9, 1e9), 1))
+    return s.select("station", *[c for p in P for kind in ("adc", "dec") for c in _digest(f"{p}_{kind}")])
 
 
 @query(f"""WITH {TRI} SELECT station, {', '.join(f"list_sum({p})::BIGINT AS sum_{p}" for p in P)},
@@ -106,13 +112,18 @@ def deposited_charge(spark, sf_dir):
     return s.select("station", *[A.total(F.col(p)).cast("long").alias(f"sum_{p}") for p in P], F.round((q[0] + q[1] + q[2]) / 3, 6).alias("charge"))
 
 
-@query(f"""WITH {TRI}, x AS (SELECT station, list_transform(range(1, 65), lambda i: p1[i] * 2 + CASE WHEN i > 21 AND i <= 37 THEN p2[i - 21] ELSE 0 END) AS t FROM ti)
-SELECT station, {_digest_sql("t", "total")} FROM x""")
+_NEXT = {"p1": "p2", "p2": "p3", "p3": "p1"}
+
+
+@query(f"""WITH {TRI}, x AS (SELECT station, {', '.join(f"list_transform(range(1, 65), lambda i: {p}[i] * 2 + CASE WHEN i > 21 AND i <= 37 THEN {q}[i - 21] ELSE 0 END) AS t{p}" for p, q in _NEXT.items())} FROM ti)
+SELECT station, {', '.join(_digest_sql(f"t{p}", f"total_{p}") for p in P)} FROM x""")
 def total_trace(spark, sf_dir):
+    """Scaled baselines with a signal of 16 bins (from the next PMT) at the latch bin, and nothing injected."""
     s = integer_stations(spark, sf_dir)
-    placed = A.place(F.slice("p2", 1, 16), 64, A.latch_bin(64))
-    s = s.withColumn("total", A.add(A.scale(F.col("p1"), 2.0), placed, F.lit(None).cast("array<double>")))
-    return s.select("station", *_digest("total"))
+    for p, q in _NEXT.items():
+        placed = A.place(F.slice(q, 1, 16), 64, A.latch_bin(64))
+        s = s.withColumn(f"total_{p}", A.add(A.scale(F.col(p), 2.0), placed, F.lit(None).cast("array<double>")))
+    return s.select("station", *[c for p in P for c in _digest(f"total_{p}")])
 
 
 @query(f"""WITH {TRI}, x AS (SELECT station, list_transform(range(1, 65), lambda i: greatest(p1[i], p2[i], p3[i])) AS top,
@@ -174,28 +185,35 @@ def production_rate(spark, sf_dir):
     return n.withColumn("rate", F.round(F.col("n_all") / metrics.duration(F.col("n_traces")), 3))
 
 
-@query(f"""WITH RECURSIVE {TRI}, h AS (SELECT station, list_sort(list_filter(range(0, 64), lambda i: p1[i + 1] > 60)) AS h, p1 FROM ti),
-r AS (SELECT station, h, 0 AS k, NULL::BIGINT AS last, NULL::BIGINT AS hit FROM h
-  UNION ALL SELECT station, h, k + 1, CASE WHEN last IS NULL OR h[k + 1] > last + 9 THEN h[k + 1] ELSE last END, CASE WHEN last IS NULL OR h[k + 1] > last + 9 THEN h[k + 1] END
+_LONG = "x AS (SELECT station, unnest([1, 2, 3]) AS pmt, unnest([p1, p2, p3]) AS x FROM ti)"
+
+
+def _long(spark, sf_dir):
+    s = integer_stations(spark, sf_dir).select("station", F.posexplode(F.array(*_p())).alias("pmt", "x"))
+    return s.withColumn("pmt", F.col("pmt") + 1)
+
+
+@query(f"""WITH RECURSIVE {TRI}, {_LONG}, h AS (SELECT station, pmt, list_sort(list_filter(range(0, 64), lambda i: x[i + 1] > 60)) AS h, x FROM x),
+r AS (SELECT station, pmt, h, 0 AS k, NULL::BIGINT AS last, NULL::BIGINT AS hit FROM h
+  UNION ALL SELECT station, pmt, h, k + 1, CASE WHEN last IS NULL OR h[k + 1] > last + 9 THEN h[k + 1] ELSE last END, CASE WHEN last IS NULL OR h[k + 1] > last + 9 THEN h[k + 1] END
   FROM r WHERE k < len(h))
-SELECT r.station, hit AS at, list_max(p1[greatest(hit - 4, 0) + 1:least(hit + 9, 64)])::BIGINT AS peak, list_sum(p1[greatest(hit - 4, 0) + 1:least(hit + 9, 64)])::BIGINT AS charge
-FROM r JOIN h USING (station) WHERE hit IS NOT NULL""")
+SELECT r.station, r.pmt, hit AS at, list_max(x[greatest(hit - 4, 0) + 1:least(hit + 9, 64)])::BIGINT AS peak, list_sum(x[greatest(hit - 4, 0) + 1:least(hit + 9, 64)])::BIGINT AS charge
+FROM r JOIN h ON h.station = r.station AND h.pmt = r.pmt WHERE hit IS NOT NULL""")
 def dead_time_cuts(spark, sf_dir):
-    s = integer_stations(spark, sf_dir)
-    hits = F.filter(F.transform("p1", lambda v, i: F.when(v > 60, i.cast("long"))), lambda x: x.isNotNull())
-    s = s.select("station", "p1", F.explode(windows.dead_time(hits, 9)).alias("at"))
-    s = s.withColumn("cut", windows.cut_around(F.col("p1"), F.col("at"), 4, 9))
-    return s.select("station", "at", F.array_max("cut").cast("long").alias("peak"), A.total(F.col("cut")).cast("long").alias("charge"))
+    hits = F.filter(F.transform("x", lambda v, i: F.when(v > 60, i.cast("long"))), lambda x: x.isNotNull())
+    s = _long(spark, sf_dir).select("station", "pmt", "x", F.explode(windows.dead_time(hits, 9)).alias("at"))
+    s = s.withColumn("cut", windows.cut_around(F.col("x"), F.col("at"), 4, 9))
+    return s.select("station", "pmt", "at", F.array_max("cut").cast("long").alias("peak"), A.total(F.col("cut")).cast("long").alias("charge"))
 
 
-@query(f"""WITH {TRI}, b AS (SELECT station, unnest(p1) AS v, unnest(range(64)) AS pos FROM ti),
-d AS (SELECT *, v - lag(v) OVER (PARTITION BY station ORDER BY pos) AS step FROM b),
-u AS (SELECT *, pos - row_number() OVER (PARTITION BY station ORDER BY pos) AS g FROM d WHERE step > 0)
-SELECT station, min(pos)::INT AS first, max(pos)::INT AS last, sum(step)::BIGINT AS rise FROM u GROUP BY station, g HAVING count(*) >= 2""")
+@query(f"""WITH {TRI}, {_LONG}, b AS (SELECT station, pmt, unnest(x) AS v, unnest(range(64)) AS pos FROM x),
+d AS (SELECT *, v - lag(v) OVER (PARTITION BY station, pmt ORDER BY pos) AS step FROM b),
+u AS (SELECT *, pos - row_number() OVER (PARTITION BY station, pmt ORDER BY pos) AS g FROM d WHERE step > 0)
+SELECT station, pmt, min(pos)::INT AS first, max(pos)::INT AS last, sum(step)::BIGINT AS rise FROM u GROUP BY station, pmt, g HAVING count(*) >= 2""")
 def rising_runs(spark, sf_dir):
-    bins = integer_stations(spark, sf_dir).select("station", F.posexplode("p1").alias("pos", "v"))
-    f = triggers.flanks(bins, ["station"])
-    return f.select("station", "first", "last", F.col("rise").cast("long").alias("rise"))
+    bins = _long(spark, sf_dir).select("station", "pmt", F.posexplode("x").alias("pos", "v"))
+    f = triggers.flanks(bins, ["station", "pmt"])
+    return f.select("station", "pmt", "first", "last", F.col("rise").cast("long").alias("rise"))
 
 
 @query(f"""WITH {TRI}, x AS (SELECT station, list_filter(range(0, 64), lambda i: least(p1[i + 1], p2[i + 1], p3[i + 1]) >= 35 AND p1[i + 1] >= 50) AS h,
