@@ -94,6 +94,24 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
         FROM documents d LEFT JOIN n USING (doc_id)
         JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY 1) c ON c.node = d.doc_id""",
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), h AS (SELECT page_id, t, strlen(t) AS n, sha1(t) AS x FROM p),
+        l AS (SELECT *, max(page_id) OVER (PARTITION BY t) AS last FROM h),
+        b AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(x, 5 * i + 1, 5))::BIGINT) AS v FROM l)
+        SELECT page_id, n::BIGINT AS payload_bytes,
+            array_to_string(flatten(list_transform(v, lambda y: list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((y >> k) & 31)::INT + 1, 1)))), '') AS payload_digest,
+            CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM b""",
+    "op4_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+        w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 200) AS s FROM (SELECT *, unnest(range(0, greatest(n - 99, 0))) AS i FROM d)),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+        g AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM r),
+        c AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
+        k AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p FROM c),
+        m AS (SELECT d.doc_id, any_value(x) AS x, any_value(n) AS n, count(a) AS spans, coalesce(sum(b - a), 0) AS removed, coalesce(max(b), 0) AS stop,
+            coalesce(string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a), '') AS head FROM d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY 1)
+        SELECT doc_id, n::BIGINT AS n_bytes, removed::BIGINT AS n_removed, spans::BIGINT AS n_spans, sha256(unhex(head || substr(x, 2 * stop + 1))) AS kept_sha256 FROM m""",
     "op9_quality": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         a AS (SELECT *, regexp_extract_all(t, '{_W}') AS w,
