@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, jaccard, language, mixing, quality, suffixes, topk, toxicity, warc, wavelet
+from tracelake.llm import bpe, divergence, jaccard, language, mixing, quality, suffixes, topk, toxicity, urls, warc, wavelet
 from tracelake.llm.common import spread, table
 
 
@@ -61,11 +61,24 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, table(spark, sf_dir, "embeddings"), "id % 20 = 0")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(spark, documents(spark, sf_dir), least=30, most=50)
+
+
+#: Fixed values of the query: (host, path, verdict).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judged(pages, urls.rule_table(spark, URL_RULES)).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe, op2_ngram_jaccard, op3_warc, op4_suffix_dedup, op5_mixing, op6_toxicity, op7_language, op8_wavelet,
-        op9_quality, op10_topk,
+        op9_quality, op10_topk, op11_divergence, op12_urls,
     )
 }
 
@@ -141,4 +154,38 @@ ORACLE_SQL: dict[str, str] = {
               WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT k, lang, source, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{divergence.TERM}')) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+        kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+        v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY 1),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        t AS (SELECT g.lang, g.source, coalesce(sum(c.n) FILTER (WHERE kept.term IS NOT NULL), 0) AS total FROM g
+            LEFT JOIN c ON c.lang = g.lang AND c.source = g.source LEFT JOIN kept ON kept.lang = c.lang AND kept.term = c.term GROUP BY ALL),
+        p AS (SELECT t.lang, t.source, kept.term, coalesce(c.n, 0) AS n,
+                1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (t.total + 5 * v.v)::HUGEINT AS p,
+                1 + (1000000000::HUGEINT * (kept.n + 5)) // (v.total + 5 * v.v)::HUGEINT AS q
+            FROM t JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = kept.term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+        WHERE part = 'pair' OR rank <= 50""",
+    "op12_urls": """
+        WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        b AS (SELECT *, '.' || host AS x FROM h)
+        SELECT page_id, host, path,
+            CASE WHEN x LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+                WHEN x LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+                WHEN x LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+                WHEN x LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule,
+            CASE WHEN x LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'allow'
+                WHEN x LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'block'
+                WHEN x LIKE '%.net' AND starts_with(path, '/') THEN 'block' ELSE 'allow' END AS verdict
+        FROM b""",
 }
