@@ -138,3 +138,12 @@ def test_url_cases(spark):
     assert urls.judged(pages.limit(0), rules).count() == 0
     kept = urls.allowed(pages, rules)
     assert kept.columns == pages.columns and kept.count() == 3
+
+
+def test_long_texts_are_cut_between_terms(monkeypatch):
+    monkeypatch.setattr(divergence, "PART", 7)
+    text = "Straße x1y  ÉÉÉÉÉÉÉÉÉÉÉÉ AbC " * 5
+    parts = list(divergence._parts(text.encode().translate(divergence.FOLD)))
+    assert len(parts) > 5
+    want = re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", lower(text))
+    assert [t.decode() for p in parts for t in p.split()] == want

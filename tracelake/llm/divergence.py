@@ -15,22 +15,28 @@ of them comes into one task whole.  Counts and terms are partial sums before the
 
 Cases: null text, lang and source are ''; a row is a document, whatever its doc_id, also if it repeats; a group whose
 texts have no kept term is in all pairs; a language without kept terms has distances of 0 and no term rows; values tie
-by the item's UTF-8 bytes; very long texts are taken whole, as the list of their terms; columns beside text, lang and
+by the item's UTF-8 bytes; very long texts are taken whole, cut between terms; columns beside text, lang and
 source aren't read; an empty table gives an empty result.  Values are integers: quotients are worked out as 38-digit
 decimals, sums as 64-bit integers (a sum over terms of values below 10^9 + 2, whose p add up to about 10^9).
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import cut
+from tracelake.llm.common import batch, cut, slices, texts_of
 
+#: What the SQL calls a term; here texts are folded by bytes: what is no part of a term becomes a blank.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FOLD = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Terms that a task holds, about, and bytes of a text that it cuts at a time.
+ENTRIES, PART = 400_000, 1 << 20
 #: A cell's terms and a block's sources, about.
 TERMS, SOURCES = 1024, 256
 #: A term is heavy in more than one in so many of its language's sources.
@@ -39,19 +45,55 @@ HEAVY = 4
 SCALE, ADD = 1_000_000_000, 5
 
 SCHEMA = "lang string, source string, item string, value long"
+_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("df", pa.int64())])
 _SCHEMA = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and df (documents with the term)."""
+    """lang, source, term, n (occurrences) and df (documents with the term).
+
+    A task adds up what it reads until it holds `ENTRIES` terms, then hands the sums on.  Bytes of a term are letters or
+    belong to characters beyond ASCII, so a text in UTF-8 is folded and cut by its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+        for rows in batches:
+            for piece in slices(rows):
+                for lang, source, text in zip(piece.column("lang").to_pylist(), piece.column("source").to_pylist(), texts_of(piece.column("text"))):
+                    n, df = held.setdefault((lang, source), (Counter(), Counter()))
+                    seen: set[bytes] = set()
+                    for part in _parts(text.translate(FOLD)):
+                        terms = part.split()
+                        n.update(terms)
+                        seen.update(terms)
+                    df.update(seen)
+                if sum(len(n) for n, _ in held.values()) > ENTRIES:
+                    yield from _sums(held)
+                    held.clear()
+        yield from _sums(held)
+
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    terms = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    rows = docs.select(*named).select("lang", "source", terms.alias("terms"))
-    one = lambda n, df: lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(df).cast("long").alias("df"))
-    rows = rows.select("lang", "source", F.inline(F.concat(F.transform("terms", one(1, 0)), F.transform(F.array_distinct("terms"), one(0, 1)))))
+    rows = docs.select(*named).mapInArrow(run, "lang string, source string, term string, n long, df long")
     return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
+def _parts(data: bytes) -> Iterator[bytes]:
+    """A folded text in parts of about `PART` bytes, cut between terms."""
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + PART)
+        end = len(data) if end < 0 else end
+        yield data[at:end]
+        at = end
+
+
+def _sums(held: dict[tuple, tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+    for (lang, source), (n, df) in held.items():
+        if n:
+            term = pa.array(n.keys(), pa.binary()).cast(pa.string())
+            yield batch(_COUNTS, [pa.repeat(lang, len(n)), pa.repeat(source, len(n)), term, n.values(), map(df.__getitem__, n)])
+
+
 def share(n: Column | str, total: Column | str, terms: Column | str) -> Column:
     """1 + floor(SCALE (n + ADD) / (total + ADD terms))."""
     n, total, terms = (F.col(x) if isinstance(x, str) else x for x in (n, total, terms))
