@@ -113,3 +113,31 @@ def test_multikey_quicksort():
         assert sorted(order.tolist()) == list(range(n)) and rows == sorted(rows)
         for a, b, shared in zip(rows, rows[1:], S.shared_words(words, order)[1:]):
             assert shared == next((i for i in range(width) if a[i] != b[i]), width)
+
+
+def similar(seed, n=40):
+    """Texts that share 40 to 99 bytes, or more, with others, amid words of their own."""
+    r = random.Random(seed)
+    text = lambda n: "".join(r.choice("abcdefghij klmnop") for _ in range(n))
+    shared = [text(r.randint(40, 99) if seed % 3 == 0 else r.randint(40, 160)) for _ in range(4)]
+    return [(i, text(r.randint(0, 90)) + r.choice(shared) + text(r.randint(0, 90)) + (r.choice(shared) if r.random() < 0.3 else "")) for i in range(n)]
+
+
+@pytest.mark.parametrize("bucket, most", [(1 << 20, 16_384), (7, 16_384), (7, 2)])
+def test_similar_texts_in_many_buckets(spark, monkeypatch, bucket, most):
+    monkeypatch.setattr(S, "BUCKET", bucket)
+    monkeypatch.setattr(S, "MOST_CLASSES", most)
+    for seed in range(4):
+        rows = similar(seed)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert sorted((tuple(r) for r in S.removed(spark, df, 100).collect()), key=str) == repeats(rows, 100)
+    two = [(1, "x" * 60 + "one sentence that both of them share, of eighty-one bytes, and not a byte more" + "y" * 70), (2, "p" * 60 + "one sentence that both of them share, of eighty-one bytes, and not a byte more" + "q" * 70)]
+    df = spark.createDataFrame(two, "doc_id long, text string")
+    assert sorted((tuple(r) for r in S.removed(spark, df, 100).collect()), key=str) == repeats(two, 100)
+
+
+def test_equal_rows_with_a_map(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.sql(f"SELECT 1L AS doc_id, '{text}' AS text, map('a', x) AS m, array(x) AS l FROM VALUES (2), (1), (1) AS t(x)")
+    out = J.survivors(spark, df, 5, 80).collect()
+    assert [(r.doc_id, r.m) for r in out] == [(1, {"a": 1})]

@@ -477,7 +477,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, per_cent: int = 80) -
 
 def survivors(spark: SparkSession, docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
     """One row of each component: that of the least doc_id (null is the largest), then of the least fingerprint and
-    row key, then the least in all columns.  Rows without words link with nothing and all stay."""
+    row key, then the least as JSON.  Rows without words link with nothing and all stay."""
     rows, of = grouped(spark, docs, k, per_cent)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "fp")
     stay = of.groupBy("label").agg(F.min_by(F.struct("doc_id", "fp"), first).alias("x")).select(F.col("x.doc_id").alias("id"), F.col("x.fp").alias("f"))
@@ -490,8 +490,9 @@ def survivors(spark: SparkSession, docs: DataFrame, k: int = 5, per_cent: int =
     kept = marked.join(once, F.col(key) == F.col(want), "left_semi").drop(key)
     again = found.where("c > 1").select(F.col("key").alias(want))
     if again.take(1):  # rows equal in doc_id and text
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # told apart as JSON: maps have no order of their own
         equal = marked.join(again, F.col(key) == F.col(want), "left_semi")
-        equal = equal.groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(want))
+        equal = equal.groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias(want))
         kept = kept.unionByName(equal.select(f"{want}.*"))
     drop(spark, rows, of)
     return kept.unionByName(docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))

@@ -288,6 +288,8 @@ def repeated(doc_id: np.ndarray, key: np.ndarray, a: np.ndarray, ctx: np.ndarray
     who, dist, hashes = who[by], dist[by], hashes[by]
     again = np.append(False, (hashes[1:] == hashes[:-1]) & (dist[1:] == dist[:-1]) & (seed[who[1:]] == seed[who[:-1]]))
     who, dist = who[again], dist[again]
+    if not len(who):  # texts that agree around their anchors, but in no whole window
+        return who, who, who
     start = (a[who] >> 14) - dist
     return merged(who, start, start)
 
