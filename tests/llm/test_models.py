@@ -147,3 +147,20 @@ def test_language_kernel_equals_plain_loops():
     assert [model.langs[i] for i in best[[0, 1, 2, 5]]] == ["en", "de", "fr", "de"]
     assert np.allclose(score, [math.exp(m[i]) / np.exp(m).sum() for m, i in zip(margin, best)], atol=1e-2)
     assert (best == margin.argmax(1)).all()
+
+
+def test_training_rows_are_bounded_for_repeated_ids(spark, monkeypatch):
+    """20 ids over many rows: no more rows are learned than the parameter says, and the same ones each time."""
+    sizes = []
+    monkeypatch.setattr(L, "Model", lambda sets, langs: sizes.append((len(sets), sorted(set(langs)), [s.tolist() for s in sets])))
+    rows = [(i % 20, f"wort {i} eins zwei" if i % 2 else f"word {i} one two", "de" if i % 2 else "en") for i in range(4000)]
+    df = spark.createDataFrame([*rows, *rows], "doc_id long, text string, lang string").repartition(4)
+    L.fit(df, per_lang=30)
+    L.fit(df.repartition(7), per_lang=30)
+    assert sizes[0][:2] == (60, ["de", "en"]) and sizes[0] == sizes[1]
+
+    seen = []
+    monkeypatch.setattr(T, "_count", lambda rows: seen.append(rows.count()) or {})
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(20)], "doc_id long, toxic int, quality int")
+    T.fit(df, labels, most=5)
+    assert seen[0] <= 10

@@ -85,19 +85,20 @@ class Model:
 
 
 def fit(docs: DataFrame, per_lang: int = 300) -> Model | None:
-    """Learn from at most `per_lang` documents of each language that are not held out."""
+    """Learn from at most `per_lang` rows of each language that are not held out: those of the least hashes of id and
+    text.  Rows that are equal in id, lang and text are learned once."""
     known = docs.where(~held_out("doc_id")).where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    rows = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(7)).alias("h")).withColumn("u", F.col("h") / 2.0**64 + 0.5)
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    rows = known.select("lang", F.xxhash64("doc_id", "text", F.lit(7)).alias("h")).distinct().withColumn("u", F.col("h") / 2.0**64 + 0.5)
     # hashes up to twice the share that is wanted, and the least one: a language's rows are ranked when they are few
     shares = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("least"))
     shares = shares.select(F.col("lang").alias("of"), F.greatest("least", (2.0 * per_lang + 100) / F.col("n")).alias("upto"))
     rows = rows.join(shares, (F.col("lang") == F.col("of")) & (F.col("u") <= F.col("upto")))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    some = rows.select("doc_id", "lang", "h").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang)
-    some = some.select(F.col("doc_id").alias("id"), F.col("lang").alias("y"))
-    rows = docs.select("doc_id", "text", "lang").join(
-        F.broadcast(some), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("y"))
-    )
+    order = Window.partitionBy("lang").orderBy("h")
+    some = rows.select("lang", "h").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang)
+    some = some.select(F.col("lang").alias("y"), F.col("h").alias("of"))
+    rows = known.withColumn("h", F.xxhash64("doc_id", "text", F.lit(7))).join(F.broadcast(some), (F.col("h") == F.col("of")) & (F.col("lang") == F.col("y")))
+    rows = rows.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -227,7 +227,8 @@ def _count(rows: DataFrame) -> tuple[dict[bytes, float], list]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 8000) -> Model | None:
-    """Learn from at most `most` rows of each label that are not held out."""
+    """Learn from at most `most` labelled ids of each label that are not held out, from one row (that of the least text)
+    of each, however often an id repeats."""
     named = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out("doc_id"))
     named = named.groupBy("doc_id").agg(F.max("toxic").alias("y"))
     order = F.xxhash64("doc_id", F.lit(6))
@@ -235,6 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8000) -> Model | None:
     some = some[0].unionByName(some[1]).select(F.col("doc_id").alias("id"), "y")
     part = F.pmod(F.xxhash64("doc_id", F.lit(61)), F.lit(4))
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("id"))
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     rows = rows.select("doc_id", "y", part.cast("int").alias("part"), "text")
     lexicon = Lexicon(_count(rows.where("part < 2")))
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("part", pa.int32()), ("x", pa.list_(pa.float64()))])
