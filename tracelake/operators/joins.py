@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.operators.ordering import numbered
+from tracelake.operators.ordering import carried, numbered, quantile_bucket
 
 
 def micros(time: str) -> Column:
@@ -36,23 +36,27 @@ def with_defaults(facts: DataFrame, dimension: DataFrame, on: list[str], default
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
+def nearest_in_time(left: DataFrame, right: DataFrame, key: str, time: str, value: str, segments: int = 64) -> DataFrame:
     """For each left row the value of the right row of its key that is nearest in time; the earlier of
     equals, and of rows at the same time the one with the largest value.
 
-    Both sides are merged and scanned once in either direction, so it costs a sort, not a product.
+    Both sides are merged, cut into segments of time, and scanned once in either direction within each segment of a
+    key; what lies before and after a segment is carried over its borders.  So it costs a sort, not a product, and a
+    key with all rows is spread over all segments.
     """
     both = left.withColumn("_v", F.lit(None)).withColumn("_left", F.lit(True))
     other = right.groupBy(key, time).agg(F.max(value).alias("_v")).withColumn("_left", F.lit(False))
-    rows = both.unionByName(other, allowMissingColumns=True)
+    rows = both.unionByName(other, allowMissingColumns=True).withColumn("_at", micros(time))
+    rows = rows.withColumn("_segment", F.coalesce(quantile_bucket(rows, "_at", segments), F.lit(0)))
     mark = F.when(~F.col("_left"), F.struct(F.col(time).alias("t"), F.col("_v").alias("v")))
-    order = Window.partitionBy(key).orderBy(F.col(time), F.col("_left"))
-    before = F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = carried(rows, [key], "_segment", "_at", mark, "_earlier", "_later")
+    order = Window.partitionBy(key, "_segment").orderBy(F.col("_at"), F.col("_left"))
+    before = F.coalesce(F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("_earlier"))
+    after = F.coalesce(F.first(mark, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)), F.col("_later"))
     rows = rows.withColumn("_b", before).withColumn("_a", after).where("_left")
-    gap_b, gap_a = micros(time) - micros("_b.t"), micros("_a.t") - micros(time)
+    gap_b, gap_a = F.col("_at") - micros("_b.t"), micros("_a.t") - F.col("_at")
     near = F.when(F.col("_a").isNull() | (gap_b <= gap_a), F.col("_b")).otherwise(F.col("_a"))
-    return rows.withColumn("nearest_time", near["t"]).withColumn("nearest_value", near["v"]).drop("_v", "_left", "_a", "_b")
+    return rows.withColumn("nearest_time", near["t"]).withColumn("nearest_value", near["v"]).drop("_v", "_left", "_a", "_b", "_at", "_segment", "_earlier", "_later")
 
 
 def within_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:

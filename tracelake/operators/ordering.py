@@ -48,3 +48,16 @@ def numbered(df: DataFrame, column: str, name: str, buckets: int = 256, tie: str
     marked = df.withColumn("_part", quantile_bucket(df, column, buckets))
     order = [column] if tie is None else [column, tie]
     return running(marked, [], "_part", order, F.lit(1), name).drop("_part")
+
+
+def carried(df: DataFrame, by: list[str], segment: str, order: str | Column, value: Column, before: str, after: str) -> DataFrame:
+    """The rows with the last value that isn't null of their key's earlier segments, and the first one of its later segments.
+
+    Segments ascend with the order.  What is carried over their borders comes from a row for each key and segment, so
+    a key with all rows is worked on by as many tasks as it has segments."""
+    order = F.when(value.isNotNull(), F.col(order) if isinstance(order, str) else order)
+    ends = df.groupBy(*by, segment).agg(F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last"))
+    along = Window.partitionBy(*by).orderBy(segment)
+    last = F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+    return df.join(ends.select(*by, segment, last.alias(before), first.alias(after)), [*by, segment], "left")

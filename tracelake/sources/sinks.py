@@ -37,3 +37,10 @@ def write_ensemble(members: DataFrame, path: str) -> None:
 def write_scan(scan: DataFrame, path: str) -> None:
     """A row per scale of the classical triggers: scale, then efficiency and rate in all and by trigger."""
     scan.orderBy(F.col("scale")).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """The table, worked out once and kept in the shared folder, for plans that read it several times."""
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
