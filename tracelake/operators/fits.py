@@ -55,7 +55,8 @@ def least_squares(model, x: np.ndarray, y: np.ndarray, start: np.ndarray, weight
 def fit_lateral(bins: DataFrame, keys: list[str], x: str = "x", y: str = "y", weight: str | None = None) -> DataFrame:
     """efficiency, p50 and width per group of keys; groups of under three usable bins give the defaults 0, 0, 1."""
     schema = ", ".join(f"{k} {bins.schema[k].dataType.simpleString()}" for k in keys) + ", efficiency double, p50 double, width double"
-    usable = bins.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+    finite = lambda c: F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))  # noqa: E731  NaN is above all
+    usable = bins.where(finite(x) & finite(y) & (F.lit(True) if weight is None else finite(weight)))
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(x)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tracelake import config as C
 from tracelake.functions import arrays as A
 from tracelake.operators import fits, joins, metrics, sampling, triggers
 from tracelake.plans.rate_queries import _GRID, EDGES, _grid, _lines
-from tracelake.plans.registry import TR, TRI, integer_stations, query, stations, table
+from tracelake.plans.registry import TR, TRI, formula, integer_stations, query, stations, table
 from tracelake.plans.relation_queries import _LAB, _lcg_sql
 from tracelake.plans.trace_queries import P, _digest, _digest_sql, _p
 from tracelake.sources import extracts, sinks, traces
@@ -125,14 +127,28 @@ def outcome_files(spark, sf_dir):
     return spark.read.parquet(path).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("l_suppkey").alias("keys"))
 
 
-@query("""SELECT l_linenumber::INT AS scale, 2 * count(*)::BIGINT AS n FROM lineitem GROUP BY 1""")
+@query("""SELECT l_linenumber::INT AS scale, l_linestatus AS job, count(*) AS n FROM lineitem GROUP BY 1, 2""")
 def appended_rates(spark, sf_dir):
-    """Rate rows appended by two jobs."""
+    """Rate rows added to one table by two jobs, one of which is run twice."""
     path = sinks.scratch(spark, "rates")
-    rows = _lines(spark, sf_dir).groupBy(F.col("l_linenumber").alias("scale")).agg(F.count("*").alias("n"))
-    for _ in range(2):
-        traces.append_rates(rows, path)
-    return spark.read.parquet(path).groupBy("scale").agg(F.sum("n").alias("n"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("scale"), "l_linestatus").agg(F.count("*").alias("n"))
+    for job in ("O", "F", "O"):
+        traces.append_rates(rows.where(F.col("l_linestatus") == job).select("scale", "n"), path, job)
+    return spark.read.schema("scale int, n long, job string").parquet(path)
+
+
+@query("""WITH e AS (SELECT vec_id, label, list_sum(list_transform(embedding, lambda x: floor(1000 * x::DOUBLE)))::BIGINT AS total, floor(1000 * embedding[1]::DOUBLE) AS first FROM embeddings)
+SELECT CASE WHEN first >= 0 THEN vec_id END AS vec_id, CASE WHEN first >= 0 THEN total END AS total, CASE WHEN first < 0 THEN vec_id::VARCHAR END AS failed_key, CASE WHEN first < 0 THEN 'ValueError' END AS error FROM e""")
+def quarantined_traces(spark, sf_dir):
+    """Charges of traces; those that begin below zero raise, and are put aside with their error."""
+
+    def charge(rows):
+        bins = [np.floor(1000 * np.asarray(e, float)) for e in rows["embedding"]]
+        if any(b[0] < 0 for b in bins):
+            raise ValueError("a trace begins below zero")
+        return pd.DataFrame({"vec_id": rows["vec_id"], "total": [int(b.sum()) for b in bins]})
+
+    return traces.quarantined(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), charge, "vec_id long, total long", "vec_id")
 
 
 @query("""SELECT l_linestatus AS status, count(*) AS n FROM lineitem GROUP BY 1""")
@@ -317,7 +333,7 @@ def line_covariances(spark, sf_dir):
     return g.select("k", *[F.round(c, d).alias(c) for c, d in (("slope", 4), ("intercept", 4), ("var_slope", 4), ("var_intercept", 3), ("cov", 3))])
 
 
-@query("""SELECT n_nationkey AS e, n_regionkey AS t, round((0.5 + 0.02 * n_nationkey)::DOUBLE, 3) AS efficiency, (700 + 10 * n_nationkey)::DOUBLE AS p50, (-60 - 5 * n_regionkey)::DOUBLE AS width FROM nation""")
+@formula("""SELECT n_nationkey AS e, n_regionkey AS t, round((0.5 + 0.02 * n_nationkey)::DOUBLE, 3) AS efficiency, (700 + 10 * n_nationkey)::DOUBLE AS p50, (-60 - 5 * n_regionkey)::DOUBLE AS width FROM nation""")
 def recovered_lateral(spark, sf_dir):
     """Weighted fits of hits and misses that follow known curves give the curves back."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("e"), F.col("n_regionkey").alias("t"))
@@ -328,7 +344,7 @@ def recovered_lateral(spark, sf_dir):
     return f.select("e", "t", F.round("efficiency", 3).alias("efficiency"), F.round("p50", 1).alias("p50"), F.round("width", 1).alias("width"))
 
 
-@query("""SELECT n_nationkey AS kind, (500 + 20 * n_nationkey)::DOUBLE AS a, round((0.05 + 0.002 * n_nationkey)::DOUBLE, 5) AS b, round(ln(23 / (500 + 20.0 * n_nationkey)::DOUBLE) / (0.05 + 0.002 * n_nationkey)::DOUBLE, 2) AS surplus FROM nation""")
+@formula("""SELECT n_nationkey AS kind, (500 + 20 * n_nationkey)::DOUBLE AS a, round((0.05 + 0.002 * n_nationkey)::DOUBLE, 5) AS b, round(ln(23 / (500 + 20.0 * n_nationkey)::DOUBLE) / (0.05 + 0.002 * n_nationkey)::DOUBLE, 2) AS surplus FROM nation""")
 def recovered_rates(spark, sf_dir):
     """Exponential fits of known curves, and the scale at which the rate is 23 Hz."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(60), F.lit(5)).cast("array<double>")).alias("x"))
@@ -337,7 +353,7 @@ def recovered_rates(spark, sf_dir):
     return f.select("kind", F.round("a", 2).alias("a"), F.round("b", 5).alias("b"), F.round(fits.surplus(F.lit(23.0), F.col("a"), F.col("b")), 2).alias("surplus"))
 
 
-@query("""SELECT n_nationkey AS kind, round(50.0 + n_nationkey / 2, 1) AS mean, (8 + n_regionkey)::DOUBLE AS sigma FROM nation""")
+@formula("""SELECT n_nationkey AS kind, round(50.0 + n_nationkey / 2, 1) AS mean, (8 + n_regionkey)::DOUBLE AS sigma FROM nation""")
 def recovered_peaks(spark, sf_dir):
     """Gaussian peaks over a falling background."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("bin"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelake import config as C
 
@@ -41,9 +44,16 @@ def train_validate(files: list[str], share: float = C.TRAIN_SHARE) -> tuple[list
 
 
 def _numbered(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Lines with file and line number.  A file is one row while it is numbered; a shower's file is small."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("event_file"), "value")
-    lines = files.select("event_file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    """Lines with file and line number.  A large file is read by many tasks: lines are counted within each of its splits,
+    and those of the splits before are added.  Splits depend on files and settings only, so the counts fit the lines."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("event_file"), F.col("_metadata.file_block_start").alias("split"),
+        "value", F.monotonically_increasing_id().alias("row"),
+    )
+    splits = lines.groupBy("event_file", "split").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("event_file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("event_file", "split", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    lines = lines.join(splits, ["event_file", "split"]).select("event_file", (F.col("row") + F.col("shift")).alias("line"), F.col("value").alias("text"))
     return lines.where(F.trim("text") != "")
 
 
@@ -109,8 +119,11 @@ def write_outcomes(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("outcome").parquet(path)
 
 
-def append_rates(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_rates(df: DataFrame, path: str, job: str) -> None:
+    """Add a job's rate rows to a table.  They are a partition of their own, so a job that is run again, whole or
+    after a failure, replaces its rows and no others."""
+    rows = df.withColumn("job", F.lit(job))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job").parquet(path)
 
 
 def write_by_status(df: DataFrame, path: str) -> None:
@@ -121,3 +134,32 @@ def write_by_status(df: DataFrame, path: str) -> None:
 def pack(df: DataFrame, path: str, fragments: int = 100) -> None:
     """Many small inputs as a fixed number of files."""
     df.repartition(fragments).write.mode("overwrite").parquet(path)
+
+
+def quarantined(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str) -> DataFrame:
+    """What `work` makes of the rows, and a row with the key and the error's class for each that it raises on.
+
+    `work` gets tables of rows and gives columns of `schema`.  Where it raises, the rows are given to it one by one,
+    so that one of them ends neither the task nor the work on its neighbours.  The result has the schema's columns and,
+    for rows that failed, `failed_key` (as text) and `error` beside nulls."""
+    fields = [f.name for f in T.StructType.fromDDL(schema)]
+
+    def attempt(rows: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple]]:
+        try:
+            return work(rows), []
+        except Exception as e:
+            if len(rows) > 1:
+                parts = [attempt(rows.iloc[i : i + 1]) for i in range(len(rows))]
+                good = [p for p, _ in parts if len(p)]
+                return pd.concat(good) if good else pd.DataFrame(columns=fields), [f for _, bad in parts for f in bad]
+            return pd.DataFrame(columns=fields), [(str(rows[key].iloc[0]), type(e).__name__)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            good, bad = attempt(rows)
+            if len(good):
+                yield good.assign(failed_key=None, error=None)
+            if bad:
+                yield pd.DataFrame(bad, columns=["failed_key", "error"]).reindex(columns=[*fields, "failed_key", "error"])
+
+    return df.mapInPandas(run, f"{schema}, failed_key string, error string")
