@@ -12,7 +12,7 @@ from tracelake.functions import arrays as A
 from tracelake.functions import showers
 from tracelake.operators import metrics, particles, scoring, triggers, windows
 from tracelake.plans.rate_queries import _poisson_sql
-from tracelake.plans.registry import TR, TRI, integer_stations, query, stations, table
+from tracelake.plans.registry import TR, TRI, formula, integer_stations, query, stations, table
 from tracelake.plans.relation_queries import _lcg_sql
 from tracelake.plans.trace_queries import P, _digest, _digest_sql, _p
 
@@ -144,7 +144,7 @@ def segment_distances(spark, sf_dir):
     return s.select("station", F.round(showers.segment_distance(*at), 5).alias("distance"), F.round(A.plane_distance(*at), 5).alias("to_line"))
 
 
-@query("""WITH r AS (SELECT unnest(range(100, 3000, 100))::DOUBLE AS r), d AS (SELECT r, 10.0 + r / 100 AS s, 0.2 + r / 10000 AS z FROM r),
+@formula("""WITH r AS (SELECT unnest(range(100, 3000, 100))::DOUBLE AS r), d AS (SELECT r, 10.0 + r / 100 AS s, 0.2 + r / 10000 AS z FROM r),
 b AS (SELECT *, log10(s) AS l, (-3.72 + 0.0967 * log10(s)) + (1.74 - 0.242 * log10(s)) / cos(z) + (-0.274 + 0.0349 * log10(s)) / cos(z) ** 2 AS beta FROM d),
 g AS (SELECT *, -1.87 - 0.183 * l + (0.490 - 0.0650 * l) / (exp((19.6 - 2.10 * l) * (cos(z) ** 2 - (0.483 + 0.005 * l))) + 1) - 2.272 * cos(z) ** 4.64 / (exp(18.01 * (l + 1.95)) + 1) - beta AS gamma FROM b)
 SELECT r::INT AS r, round(beta, 7) AS beta, round(gamma, 7) AS gamma, round(s * (r / 1000) ** beta * ((r + 700) / 1700) ** (beta + gamma), 6) AS density,
@@ -159,7 +159,7 @@ def shower_densities(spark, sf_dir):
                     F.round(showers.muon_density(F.lit(1e7), F.col("r")), 9).alias("muons"), F.round(showers.electron_density(F.lit(1e7), F.col("r")), 7).alias("electrons"))
 
 
-@query("""WITH RECURSIVE c AS (SELECT 0 AS step, e, e AS e0, 1.0::DOUBLE AS h, 0.0::DOUBLE AS el FROM (SELECT unnest([1e11, 1e13, 1e15, 1e17])::DOUBLE AS e)
+@formula("""WITH RECURSIVE c AS (SELECT 0 AS step, e, e AS e0, 1.0::DOUBLE AS h, 0.0::DOUBLE AS el FROM (SELECT unnest([1e11, 1e13, 1e15, 1e17])::DOUBLE AS e)
 UNION ALL SELECT step + 1, e / 15, e0, h * 10, el + 2 * h / 3 * floor(e / 30 / 85e6) FROM c WHERE e > 20e9)
 SELECT e0 AS energy, round(arg_max(h, step), 3) AS hadrons, round(arg_max(el, step), 3) AS electrons FROM c GROUP BY 1""")
 def cascades(spark, sf_dir):
@@ -167,7 +167,7 @@ def cascades(spark, sf_dir):
     return spark.createDataFrame(rows, "energy double, hadrons double, electrons double")
 
 
-@query("""SELECT q, r, greatest(abs(q), abs(r), abs(q + r)) AS ring, round(1.5 * (q + r / 2), 6) AS x, round(1.5 * sqrt(3) / 2 * r, 6) AS y FROM (SELECT unnest(range(-4, 5)) AS q), (SELECT unnest(range(-4, 5)) AS r) WHERE abs(q + r) <= 4""")
+@formula("""SELECT q, r, greatest(abs(q), abs(r), abs(q + r)) AS ring, round(1.5 * (q + r / 2), 6) AS x, round(1.5 * sqrt(3) / 2 * r, 6) AS y FROM (SELECT unnest(range(-4, 5)) AS q), (SELECT unnest(range(-4, 5)) AS r) WHERE abs(q + r) <= 4""")
 def lattice_points(spark, sf_dir):
     return showers.lattice(spark, 4, 1.5).withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
 

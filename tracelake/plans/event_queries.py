@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import arrays as A
 from tracelake.operators import joins, metrics, sampling, triggers
 from tracelake.plans.rate_queries import _D, _lines
-from tracelake.plans.registry import query, table
+from tracelake.plans.registry import formula, query, table
 from tracelake.plans.relation_queries import _LAB, _lcg, _lcg_sql
 from tracelake.sources import extracts, traces
 
@@ -31,7 +31,7 @@ def cell_coincidences(spark, sf_dir):
 _DRAWS = 35_000
 
 
-@query(f"""WITH d AS (SELECT i, (i % 7)::INT AS e, (i // 7 % 5)::INT AS t, {_lcg_sql('i * 7 + 1')} AS u, {_lcg_sql('i * 7 + 2')} AS v, {_lcg_sql('i * 7 + 3')} AS z FROM (SELECT unnest(range({_DRAWS})) AS i)),
+@formula(f"""WITH d AS (SELECT i, (i % 7)::INT AS e, (i // 7 % 5)::INT AS t, {_lcg_sql('i * 7 + 1')} AS u, {_lcg_sql('i * 7 + 2')} AS v, {_lcg_sql('i * 7 + 3')} AS z FROM (SELECT unnest(range({_DRAWS})) AS i)),
 c AS (SELECT i, e, t, 0.2 * t + 0.2 * z AS zen, u * 6.283185307179586 AS azi, CASE WHEN u + v > 1 THEN 1 - u ELSE u END AS a, CASE WHEN u + v > 1 THEN 1 - v ELSE v END AS b FROM d),
 k AS (SELECT *, a + b / 2 AS x, b * sqrt(3.0) / 2 AS y FROM c),
 s AS (SELECT k.*, q.id, q.sx - x AS dx, q.sy - y AS dy, sin(zen) * cos(azi) AS ax, sin(zen) * sin(azi) AS ay, cos(zen) AS az FROM k CROSS JOIN (VALUES (0, 0.0, 0.0), (1, 1.0, 0.0), (2, 0.5, 0.8660254037844386)) q(id, sx, sy)),

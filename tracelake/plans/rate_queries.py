@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import arrays as A
 from tracelake.operators import fits, joins, metrics
-from tracelake.plans.registry import query, table
+from tracelake.plans.registry import formula, query, table
 from tracelake.plans.relation_queries import _lcg_sql
 
 EDGES = (1000.0, 5000.0, 10000.0, 20000.0, 40000.0, 60000.0, 80000.0)
@@ -198,7 +198,7 @@ def line_fits(spark, sf_dir):
     return _lines(spark, sf_dir).groupBy(F.col("l_linenumber").alias("k")).agg(F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 4).alias("intercept"), F.round(F.regr_sxx(y, x), 2).alias("sxx"))
 
 
-@query("""WITH d AS (SELECT unnest(range(100, 2000, 100))::DOUBLE AS r) SELECT r::INT AS r, round(20 * (r / 1000) ** -2.1 * ((r + 700) / 1700) ** (-2.1 + 0.2), 6) AS density,
+@formula("""WITH d AS (SELECT unnest(range(100, 2000, 100))::DOUBLE AS r) SELECT r::INT AS r, round(20 * (r / 1000) ** -2.1 * ((r + 700) / 1700) ** (-2.1 + 0.2), 6) AS density,
 round(sqrt(0.01 * (1 - 1 / (1 + exp(-(r - 800) / -100))) ** 2), 6) AS err, round(800 - ln(1 / (1 - 0.5 / 0.9) - 1) / -0.01, 6) AS radius FROM d""")
 def lateral_profiles(spark, sf_dir):
     d = spark.range(100, 2000, 100).select(F.col("id").cast("double").alias("r"))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Formulas over generated rows, with the SQL that they equal: under test, but no queries, as they read no table.
+FORMULAS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+FORMULA_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
@@ -23,6 +26,16 @@ def query(sql: str | None = None):
     return add
 
 
+def formula(sql: str):
+    """Keep a formula over generated rows, with the SQL that it equals."""
+
+    def add(f):
+        FORMULAS[f.__name__], FORMULA_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import arrays as A
 from tracelake.operators import joins, sampling, triggers
-from tracelake.plans.registry import query, table
+from tracelake.plans.registry import formula, query, table
 from tracelake.sources import extracts, sinks
 from tracelake.streaming import triggers as streams
 
@@ -108,7 +108,7 @@ def _lcg(x):
     return A.lcg(x)
 
 
-@query(f"""WITH d AS (SELECT i, {_lcg_sql('i * 7 + 1')} AS u, {_lcg_sql('i * 7 + 2')} AS v, {_lcg_sql('i * 7 + 3')} AS z, (i % 7)::INT AS e FROM (SELECT unnest(range(20000)) AS i)),
+@formula(f"""WITH d AS (SELECT i, {_lcg_sql('i * 7 + 1')} AS u, {_lcg_sql('i * 7 + 2')} AS v, {_lcg_sql('i * 7 + 3')} AS z, (i % 7)::INT AS e FROM (SELECT unnest(range(20000)) AS i)),
 c AS (SELECT i, e, 0.2 + z AS zen, u * 6.283185307179586 AS azi, CASE WHEN u + v > 1 THEN 1 - u ELSE u END AS a, CASE WHEN u + v > 1 THEN 1 - v ELSE v END AS b FROM d),
 k AS (SELECT *, a + b / 2 AS x, b * sqrt(3.0) / 2 AS y FROM c),
 s AS (SELECT k.*, t.id, t.sx - x AS dx, t.sy - y AS dy, sin(zen) * cos(azi) AS ax, sin(zen) * sin(azi) AS ay, cos(zen) AS az FROM k CROSS JOIN (VALUES (0, 0.0, 0.0), (1, 1.0, 0.0), (2, 0.5, 0.8660254037844386)) t(id, sx, sy)),
