@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import coincidences, fits, joins, nearest, records
-from tracelake.sources import traces
+from tracelake.sources import store, traces
 from tracelake.streaming import triggers as streams
 
 START = datetime(2024, 1, 1)
@@ -198,3 +198,20 @@ def test_rows_that_raise_are_put_aside(spark):
     got = {(x.id, x.y, x.failed_key, x.error) for x in traces.quarantined(df, work, "id long, y double", "id").collect()}
     assert got == {(i, 2.0 * (i + 1), None, None) if (i + 1) % 5 and (i + 1) % 7 else (None, None, str(i), "ValueError" if (i + 1) % 5 else "KeyError") for i in range(100)}
     assert traces.quarantined(df.limit(0), work, "id long, y double", "id").count() == 0
+
+
+def test_store_opens_what_is_asked_for_and_joins_without_a_shuffle(spark, tmp_path):
+    events = spark.range(400).select(F.col("id").alias("event"), (F.col("id") * 10.0).alias("energy"))
+    stations = events.select("event", "energy", F.explode(F.array(*map(F.lit, range(3)))).alias("station"))
+    edges = (1000.0, 2000.0, 3000.0)
+    a, b = (store.write(df, f"file://{tmp_path}/{n}", "event", F.col("energy"), edges, 4) for n, df in (("a", events), ("b", stations)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = store.together(store.opened(spark, a, 1, 3), store.opened(spark, b, 1, 3).select("event", "energy_range", "station"), "event")
+        out = both.groupBy("event").agg(F.count("*").alias("n")).collect()
+        plan = both.groupBy("event").count()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.event, r.n) for r in out) == [(i, 3) for i in range(100, 300)]
+    assert "Exchange" not in plan and plan.count("PartitionFilters: [isnotnull(energy_range") == 2

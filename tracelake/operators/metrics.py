@@ -30,6 +30,17 @@ def efficiency_error_older(hit: Column, miss: Column) -> Column:
     return F.sqrt(hit * miss * miss + miss * hit * hit + 2 * hit * miss) / (n * n)
 
 
+#: The flags of a histogram of stations, in the order of its columns.
+FLAGS = ("th1", "th2", "tot", "totd", "mops")
+
+
+def flag_counts(hit: Column, flags: dict[str, Column]) -> list[Column]:
+    """Hits, misses, and for each of :data:`FLAGS` the hits that have it."""
+    if missing := [f for f in FLAGS if f not in flags]:
+        raise KeyError(f"no flags {missing}")
+    return [F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), *[F.count_if(hit & flags[f]).alias(f) for f in FLAGS]]
+
+
 def sparse_grid(grid: DataFrame, cell: list[str], hit: str = "hits", miss: str = "misses") -> DataFrame:
     """Rows of cells that have both hits and misses somewhere."""
     by = Window.partitionBy(*cell)

@@ -63,8 +63,9 @@ def flux_accuracy(spark, sf_dir):
 e AS (SELECT a.id AS src, b.id AS dst FROM s a JOIN s b ON (b.q - a.q, b.r - a.r) IN ((1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1))),
 w AS (SELECT id AS start, id AS node, 0 AS hops FROM s UNION SELECT start, dst, hops + 1 FROM w JOIN e ON src = node WHERE hops < 4), c AS (SELECT DISTINCT start, node FROM w),
 l AS (SELECT l_orderkey AS event, arg_max(l_suppkey, (l_quantity, -l_linenumber, -l_partkey)) AS start FROM lineitem GROUP BY 1),
-p AS (SELECT l_orderkey AS event, l_suppkey AS node, max(l_quantity) AS q, bool_or(l_discount >= 0.05) AS tot FROM lineitem GROUP BY 1, 2)
-SELECT l.event, l.start AS station, count(p.node) AS hits, count(*) - count(p.node) AS misses, count(*) FILTER (WHERE p.q > 40) AS th2, count(*) FILTER (WHERE p.tot) AS tot
+p AS (SELECT l_orderkey AS event, l_suppkey AS node, max(l_quantity) AS q, max(l_tax) AS x, bool_or(l_discount >= 0.05) AS tot FROM lineitem GROUP BY 1, 2)
+SELECT l.event, l.start AS station, count(p.node) AS hits, count(*) - count(p.node) AS misses, count(*) FILTER (WHERE p.q > 30) AS th1, count(*) FILTER (WHERE p.q > 40) AS th2, count(*) FILTER (WHERE p.tot) AS tot,
+    count(*) FILTER (WHERE p.tot AND p.x > 0.02) AS totd, count(*) FILTER (WHERE p.x > 0.05) AS mops
 FROM l JOIN c ON c.start = l.start LEFT JOIN p ON p.event = l.event AND p.node = c.node GROUP BY 1, 2""")
 def crown_hits(spark, sf_dir):
     """Hits, misses and flags of the stations within four crowns around each event's loudest station."""
@@ -73,11 +74,12 @@ def crown_hits(spark, sf_dir):
     sizes = crowns.groupBy("station").agg(F.count("*").alias("considered"))
     l = _lines(spark, sf_dir)  # noqa: E741
     loud = l.groupBy(F.col("l_orderkey").alias("event")).agg(F.max_by("l_suppkey", F.struct("l_quantity", -F.col("l_linenumber"), -F.col("l_partkey"))).alias("station"))
-    present = l.groupBy(F.col("l_orderkey").alias("event"), F.col("l_suppkey").alias("node")).agg(F.max("l_quantity").alias("q"), F.bool_or(F.col("l_discount") >= 0.05).alias("tot"))
+    present = l.groupBy(F.col("l_orderkey").alias("event"), F.col("l_suppkey").alias("node")).agg(F.max("l_quantity").alias("q"), F.max("l_tax").alias("x"), F.bool_or(F.col("l_discount") >= 0.05).alias("tot"))
+    flags = {"th1": F.col("q") > 30, "th2": F.col("q") > 40, "tot": F.col("tot"), "totd": F.col("tot") & (F.col("x") > 0.02), "mops": F.col("x") > 0.05}
     near = loud.join(present, "event").join(crowns, ["station", "node"])
-    found = near.groupBy("event").agg(F.count("*").alias("hits"), F.count_if(F.col("q") > 40).alias("th2"), F.count_if("tot").alias("tot"))
+    found = near.groupBy("event").agg(*metrics.flag_counts(F.lit(True), flags)).drop("misses")
     out = loud.join(sizes, "station").join(found, "event", "left")
-    n = {c: F.coalesce(c, F.lit(0)) for c in ("hits", "th2", "tot")}
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("hits", *metrics.FLAGS)}
     return out.select("event", "station", *[v.alias(c) for c, v in n.items()], (F.col("considered") - n["hits"]).alias("misses"))
 
 

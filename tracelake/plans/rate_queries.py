@@ -25,6 +25,7 @@ def _grid(spark, sf_dir):
     return _lines(spark, sf_dir).select(
         A.digitize(F.col("l_extendedprice"), EDGES).alias("e"), A.digitize(F.col("l_discount"), ZEN).alias("t"),
         F.floor(F.col("l_quantity") / 5).cast("int").alias("spd"), (F.col("l_returnflag") == "R").alias("hit"), "l_quantity", "l_extendedprice", "l_linestatus",
+        "l_discount", "l_tax", "l_suppkey",
     )
 
 
@@ -108,10 +109,18 @@ def flux_weights(spark, sf_dir):
     return w.groupBy("model").agg(F.count("*").alias("n"), F.round(F.log10(F.sum(1 / F.col("w"))), 7).alias("log_inverse"), F.round(F.log10(F.sum("w")), 7).alias("log_sum"))
 
 
-@query(f"""WITH {_GRID}, c AS (SELECT e, t, spd, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses, count(*) FILTER (WHERE hit AND l_quantity > 25) AS th2 FROM g GROUP BY 1, 2, 3),
-s AS (SELECT *, sum(hits) OVER (PARTITION BY e, t) AS h, sum(misses) OVER (PARTITION BY e, t) AS m FROM c) SELECT e, t, spd, hits, misses, th2 FROM s WHERE h > 0 AND m > 0""")
+#: What stands for the stations' flags, in both dialects.
+FLAGS = {"th1": "l_quantity > 15", "th2": "l_quantity > 25", "tot": "l_discount >= 0.05", "totd": "l_tax >= 0.03", "mops": "l_suppkey % 3 = 0"}
+_FLAG_SQL = ", ".join(f"count(*) FILTER (WHERE hit AND {c}) AS {f}" for f, c in FLAGS.items())
+
+
+@query(f"""WITH {_GRID.replace('l_quantity, ', 'l_quantity, l_discount, l_tax, l_suppkey, ')},
+c AS (SELECT e, t, spd, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses, {_FLAG_SQL} FROM g GROUP BY 1, 2, 3),
+s AS (SELECT *, sum(hits) OVER (PARTITION BY e, t) AS h, sum(misses) OVER (PARTITION BY e, t) AS m FROM c)
+SELECT e, t, spd, hits, misses, th1, th2, tot, totd, mops FROM s WHERE h > 0 AND m > 0""")
 def merged_grid(spark, sf_dir):
-    c = _grid(spark, sf_dir).groupBy("e", "t", "spd").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.count_if(F.col("hit") & (F.col("l_quantity") > 25)).alias("th2"))
+    flags = {f: F.expr(c) for f, c in FLAGS.items()}
+    c = _grid(spark, sf_dir).groupBy("e", "t", "spd").agg(*metrics.flag_counts(F.col("hit"), flags))
     return metrics.sparse_grid(c, ["e", "t"])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelake import config as C
@@ -13,7 +14,7 @@ from tracelake.plans.rate_queries import _GRID, EDGES, _grid, _lines
 from tracelake.plans.registry import TR, TRI, formula, integer_stations, query, stations, table
 from tracelake.plans.relation_queries import _LAB, _lcg_sql
 from tracelake.plans.trace_queries import P, _digest, _digest_sql, _p
-from tracelake.sources import extracts, sinks, traces
+from tracelake.sources import extracts, sinks, store, traces
 from tracelake.streaming import triggers as streams
 
 
@@ -53,14 +54,14 @@ def lookup_table(spark, sf_dir):
     return traces.lookup(spark, path, ["a", "b", "c"]).select("a", "c")
 
 
-@query("""SELECT n_regionkey::BIGINT AS region, count(*) AS n, sum(n_nationkey)::BIGINT AS keys FROM nation GROUP BY 1""")
+@query("""SELECT l_linenumber::BIGINT AS line, count(*) AS n, sum(l_suppkey)::BIGINT AS keys FROM lineitem GROUP BY 1""")
 def json_event_tables(spark, sf_dir):
-    """An event record with arrays of records, written and read as tables."""
+    """Event records with arrays of station records, a document to a line, written and read as tables."""
     path = sinks.scratch(spark, "json")
-    n = table(spark, sf_dir, "nation").agg(F.collect_list(F.struct("n_nationkey", "n_regionkey")).alias("eyes"))
-    n.coalesce(1).write.json(path)
-    eyes = traces.json_events(spark, path, ["eyes"])["eyes"]
-    return eyes.groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("n"), F.sum("n_nationkey").alias("keys"))
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    l.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_suppkey", "l_linenumber")).alias("stations")).write.json(path)
+    found = traces.json_events(spark, path, ["stations"], whole=False)["stations"]
+    return found.groupBy(F.col("l_linenumber").alias("line")).agg(F.count("*").alias("n"), F.sum("l_suppkey").alias("keys"))
 
 
 @query(f"""WITH {TRI}, b AS (SELECT label, pos, sum(v) AS v FROM (SELECT label, unnest(range(64)) AS pos, unnest(p1) AS v FROM ti) GROUP BY 1, 2)
@@ -190,10 +191,31 @@ def ensemble_matrix(spark, sf_dir):
 
 @query("""SELECT l_quantity::INT AS scale, count(*) AS n, row_number() OVER (ORDER BY l_quantity::INT)::BIGINT - 1 AS place FROM lineitem GROUP BY 1""")
 def sorted_scan(spark, sf_dir):
-    """A scan written in the order of its scale; its rows keep that order."""
+    """A scan written in the order of its scale: the place of a row is that in its file, after all files before it."""
     path = sinks.scratch(spark, "scan")
     sinks.write_scan(_lines(spark, sf_dir).groupBy(F.col("l_quantity").cast("int").alias("scale")).agg(F.count("*").alias("n")), path)
-    return spark.read.parquet(path).select("scale", "n", F.monotonically_increasing_id().alias("place"))
+    rows = spark.read.schema("scale int, n long").parquet(path).select("scale", "n", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    before = F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
+    files = rows.groupBy("file").agg(F.count("*").alias("rows")).select("file", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.join(files, "file").select("scale", "n", (F.col("before") + F.col("row")).alias("place"))
+
+
+_STORE_EDGES = (50_000.0, 100_000.0, 150_000.0, 200_000.0, 250_000.0)
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey, ({" + ".join(f"(o_totalprice >= {e})::INT" for e in _STORE_EDGES)}) AS r, o_custkey FROM orders)
+SELECT r AS energy_range, count(DISTINCT o_orderkey) AS events, count(*) AS stations, sum(l_suppkey * (o_custkey % 7))::BIGINT AS keys
+FROM o JOIN lineitem ON l_orderkey = o_orderkey WHERE r >= 2 AND r < 5 GROUP BY 1""")
+def pruned_store(spark, sf_dir):
+    """Events and their stations written to a store by energy, and joined for some energies only."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event"), "o_totalprice", "o_custkey")
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event"), "l_suppkey").join(o.select("event", "o_totalprice"), "event")  # noqa: E741
+    names = [store.write(df, sinks.scratch(spark, "store"), "event", F.col("o_totalprice"), _STORE_EDGES) for df in (o, l)]
+    events, stations_ = (store.opened(spark, n, 2, 5) for n in names)
+    both = store.together(events.select("event", "energy_range", "o_custkey"), stations_.select("event", "energy_range", "l_suppkey"), "event")
+    per_event = both.groupBy("event", "energy_range").agg(F.count("*").alias("n"), F.sum(F.col("l_suppkey") * (F.col("o_custkey") % 7)).alias("keys"))
+    return per_event.groupBy("energy_range").agg(F.count("*").alias("events"), F.sum("n").alias("stations"), F.sum("keys").alias("keys"))
 
 
 @query("""SELECT c_custkey::VARCHAR AS name, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1""")

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -35,8 +34,9 @@ def write_ensemble(members: DataFrame, path: str) -> None:
 
 
 def write_scan(scan: DataFrame, path: str) -> None:
-    """A row per scale of the classical triggers: scale, then efficiency and rate in all and by trigger."""
-    scan.orderBy(F.col("scale")).coalesce(1).write.mode("overwrite").parquet(path)
+    """A row per scale of the classical triggers: scale, then efficiency and rate in all and by trigger.  Files, by
+    their names, and the rows in each ascend with the scale."""
+    scan.repartitionByRange("scale").sortWithinPartitions("scale").write.mode("overwrite").parquet(path)
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

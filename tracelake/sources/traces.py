@@ -93,9 +93,10 @@ def lookup(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return rows.select(*[cells[i].cast("double").alias(n) for i, n in enumerate(columns)])
 
 
-def json_events(spark: SparkSession, path: str, parts: list[str]) -> dict[str, DataFrame]:
-    """One table for each array of records of a JSON file."""
-    doc = spark.read.json(path, multiLine=True)
+def json_events(spark: SparkSession, path: str, parts: list[str], whole: bool = True) -> dict[str, DataFrame]:
+    """One table for each array of records of JSON files: each file one document, or else each line, which is how large
+    records are to be kept, as lines are dealt out to tasks."""
+    doc = spark.read.json(path, multiLine=whole)
     return {p: doc.select(F.inline(p)) for p in parts}
 
 
