@@ -31,5 +31,6 @@ def opened(spark: SparkSession, name: str, first: int | None = None, stop: int |
 
 
 def together(left: DataFrame, right: DataFrame, event: str) -> DataFrame:
-    """Rows of two tables of the store with one event, in its energy range."""
-    return left.join(right, [event, "energy_range"])
+    """Rows of two tables of the store with one event.  The energy is the event's, so both have it in one range, and the
+    bucket alone decides where they meet: a join on the range too would be dealt out anew."""
+    return left.join(right.drop("energy_range"), event)
