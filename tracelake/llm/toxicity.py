@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import batch, held_out, slices, texts_of
+from tracelake.llm.common import batch, give_back, held_out, slices, texts_of
 
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine deiner ihr euch tu toi te ton ta tes vous votre vos tú ti "
@@ -255,6 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8000) -> Model | None:
     grow = ~last if 0 < y[~last].sum() < (~last).sum() else np.ones(len(y), bool)
     trees = Trees(x[grow], y[grow])
     fold = last if 0 < y[last].sum() < last.sum() else np.ones(len(y), bool)
+    del seen, rows
+    give_back()
     return Model(lexicon, trees, isotonic(trees.margin(x[fold]), y[fold]))
 
 
