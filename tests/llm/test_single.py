@@ -208,6 +208,33 @@ def test_topk_of_large_components(spark):
     assert [(r.vec_id, r.score) for r in alone] == [(220, 2**37)]
 
 
+def test_topk_beyond_64_bits(spark):
+    """One row of huge components changes nothing for the others, and exact scores give the ranks."""
+    big = [[1e18, 0.0], [-1e18, 1.0], [1e300, -1e300], [1e300, -1e301], [3.0, 1e9], [1e9, 1e9], [1.5e308, 1.0], [2.0**63, -(2.0**63)]]
+    rows = [(i, [float(i % 7), float(-i)]) for i in range(40)] + [(100 + i, v) for i, v in enumerate(big)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    use = [(i, [int(64 * x) if abs(x) < 2.0**47 else int(x) * 64 for x in v]) for i, v in rows if i != 106]
+    got = collections.defaultdict(list)
+    for row in topk.top_k(spark, df, "id % 20 = 0 OR id >= 100", k=6).orderBy("query_id", "rank").collect():
+        got[row.query_id].append((row.vec_id, row.score))
+    want = {}
+    for i, q in use:
+        if i % 20 == 0 or i >= 100:
+            best = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in use if j != i)[:6]
+            want[i] = [(j, min(2**63 - 1, max(-(2**63), -s))) for s, j in best]
+    assert got == want
+
+
+def test_topk_of_blocks_by_size(spark, monkeypatch):
+    """Blocks hold fewer of wider vectors; the result is the same."""
+    r = np.random.default_rng(8)
+    rows = [(i, r.integers(-9, 9, 3 + 5 * (i % 3)).astype(float).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    want = topk.top_k(spark, df, "id % 20 = 0", k=7).collect()
+    monkeypatch.setattr(topk, "CELLS", 64)
+    assert sorted(topk.top_k(spark, df, "id % 20 = 0", k=7).collect()) == sorted(want)
+
+
 def test_models_take_odd_rows(spark):
     df = docs(spark)
     labels = spark.createDataFrame([(i, int(i % 2), None) for i in range(12)], "doc_id long, toxic int, quality int")

@@ -10,9 +10,10 @@ cells' lists are merged by rank.
 
 Cases: null vectors and those with null or non-finite components take no part; nor do rows with a
 null id; vectors may differ in length (a missing component is 0); rows that repeat an id are
-candidates of their own but never one another's; fewer than k candidates give shorter lists; components and
-scores have 64 bits, and one that doesn't fit fails; an empty
-table gives an empty result; other columns are not looked at.
+candidates of their own but never one another's; fewer than k candidates give shorter lists; components of any
+size are taken exactly (whole numbers of any length, in blocks of their own), and ranks go by exact scores; a score
+beyond 64 bits is shown as the largest or smallest number of 64 bits; a component that times the scale
+isn't finite counts as non-finite; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,56 +22,72 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import batch, cut, fan_out
 
 BLOCK = 4096
+#: Components in a block, so that its size doesn't follow the width of the vectors.
+CELLS = 1 << 20
 SCORES = 1 << 18  # cells of the score array
 #: Blocks of queries in a row of the grid, and of candidates in a column.
 QUERY_BLOCKS, CANDIDATE_BLOCKS = 8, 32
+LEAST, MOST = -(2**63), 2**63 - 1
+#: Bytes of an exact score: two components of at most 2^1024 each, and as many products as a vector can have.
+EXACT = 272
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """id and array<long> of floor(scale * x) of the vectors that take part; a component beyond 64 bits fails."""
+    """id and floor(scale * x) of the vectors that take part, as doubles: those are exact for whole numbers of this origin."""
     v = F.col(vector_col).cast("array<double>")
     v = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    v = v.select("id", F.expr(f"transform(v, x -> {scale} * x)").alias("v"))
     v = v.where("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf'))")
-    return v.select("id", F.expr(f"transform(v, x -> if(abs({scale} * x) < 9223372036854775807D, floor({scale} * x), raise_error('component beyond 64 bits')))").alias("q"))
+    # From 2^53 on a double is a whole number, and floor() would be cut to 64 bits.
+    return v.select("id", F.expr("transform(v, x -> if(abs(x) < 9007199254740992D, cast(floor(x) as double), x))").alias("q"))
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """Blocks of up to BLOCK vectors in one row: n, width, ids, data (row by row, int32 if all fit, else int64)."""
-    schema = pa.schema([("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
+    """Blocks of up to BLOCK vectors and CELLS components in one row: n, width, kind, ids, data (row by row).
+
+    The kind is the smallest of int32, int64 and float64 that holds a row's components; rows of different
+    kinds go to different blocks, so that a few large ones don't slow the others down."""
+    schema = pa.schema([("n", pa.int32()), ("width", pa.int32()), ("kind", pa.string()), ("ids", pa.binary()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+        held, count, widest = [], 0, 1
 
-        def flush(some: pa.Table) -> pa.RecordBatch:
+        def flush(some: pa.Table) -> Iterator[pa.RecordBatch]:
             q = some.column("q").combine_chunks()
             sizes = np.diff(q.offsets.to_numpy())
-            width = int(sizes.max(initial=0))
-            data = np.zeros((len(sizes), width), np.int64)
-            data[np.arange(width) < sizes[:, None]] = q.flatten().to_numpy()
-            if peak(data) < 2**31:
-                data = data.astype(np.int32)
+            data = np.zeros((len(sizes), int(sizes.max(initial=0))))
+            data[np.arange(data.shape[1]) < sizes[:, None]] = q.flatten().to_numpy()
             ids = some.column("id").to_numpy().astype("<i8")
-            return pa.RecordBatch.from_pylist(
-                [{"n": len(sizes), "width": width, "ids": ids.tobytes(), "data": data.tobytes()}], schema=schema
-            )
+            largest = np.abs(data).max(axis=1, initial=0)
+            kinds = np.where(largest < 2.0**31, 0, np.where(largest < 2.0**63, 1, 2))
+            for n, kind in enumerate(("int32", "int64", "float64")):
+                at = np.flatnonzero(kinds == n)
+                if len(at):
+                    x = data[at].astype(kind)
+                    row = {"n": len(at), "width": x.shape[1], "kind": kind, "ids": ids[at].tobytes(), "data": x.tobytes()}
+                    yield pa.RecordBatch.from_pylist([row], schema=schema)
 
         for b in batches:
             held.append(b)
             count += b.num_rows
-            while count >= BLOCK:
+            widest = max(widest, pc.max(pc.list_value_length(b.column("q"))).as_py() or 1)
+            size = max(1, min(BLOCK, CELLS // widest))
+            if count >= size:
                 every = pa.Table.from_batches(held)
-                yield flush(every.slice(0, BLOCK))
-                held, count = every.slice(BLOCK).to_batches(), count - BLOCK
+                for first in range(0, count - size + 1, size):
+                    yield from flush(every.slice(first, size))
+                held, count = every.slice(count - count % size).to_batches(), count % size
         if count:
-            yield flush(pa.Table.from_batches(held))
+            yield from flush(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "n int, width int, ids binary, data binary")
+    return rows.mapInArrow(run, "n int, width int, kind string, ids binary, data binary")
 
 
 def peak(x: np.ndarray) -> int:
@@ -87,10 +104,11 @@ def best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k:
         rows = np.flatnonzero(c[:, d])
         dense = 2 * len(rows) > len(c)
         postings.append((None, c[:, d].copy()) if dense else (rows, c[rows, d]))
-    out = [tuple(np.empty(0, np.int64) for _ in range(3))]
+    out = [NONE]
     step = max(1, SCORES // max(1, len(c)))
     for first in range(0, len(q), step):
-        some, ids = q[first : first + step].astype(np.int64), q_ids[first : first + step]
+        some, ids = q[first : first + step], q_ids[first : first + step]
+        some = some if some.dtype == object else some.astype(np.int64)
         most = peak(some) * peak(c) * max(1, c.shape[1])  # beyond 64 bits: Python's integers
         scores = np.zeros((len(some), len(c)), np.int32 if most < 2**31 else np.int64 if most < 2**63 else object)
         room = np.empty_like(scores)
@@ -115,10 +133,14 @@ def best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k:
         if own is not None:
             keep &= ~own
         r, col = np.nonzero(keep)
-        out.append((r + first, c_ids[col], scores[r, col].astype(np.int64)))
+        out.append((r + first, c_ids[col], scores[r, col]))
     return top(*(np.concatenate(x) for x in zip(*out)), k)
 
 
+#: No rows: positions of queries, ids, scores.
+NONE = tuple(np.empty(0, np.int64) for _ in range(3))
+
+
 def top(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """The k best of each row, by row, best first."""
     by = np.lexsort((ids, -scores, rows))
@@ -128,9 +150,20 @@ def top(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[
 
 
 def _opened(block: dict) -> tuple[np.ndarray, np.ndarray]:
-    """ids and vectors of a block."""
-    kind = np.int32 if len(block["data"]) == 4 * block["n"] * block["width"] else np.int64
-    return np.frombuffer(block["ids"], "<i8"), np.frombuffer(block["data"], kind).reshape(block["n"], block["width"])
+    """ids and vectors of a block; those beyond 64 bits as Python's integers."""
+    data = np.frombuffer(block["data"], block["kind"])
+    if block["kind"] == "float64":
+        data = np.array([int(x) for x in data.tolist()], object)
+    return np.frombuffer(block["ids"], "<i8"), data.reshape(block["n"], block["width"])
+
+
+def _shown(scores: np.ndarray) -> tuple[list[int], list[bytes | None]]:
+    """Scores cut to 64 bits, and for those at the ends bytes in the order of the exact scores."""
+    if scores.dtype != object and not (scores.size and (scores.max() == MOST or scores.min() == LEAST)):
+        return scores, [None] * len(scores)
+    exact = [int(x) for x in scores.tolist()]
+    keys = [None if LEAST < x < MOST else (x + (1 << (8 * EXACT - 1))).to_bytes(EXACT, "big") for x in exact]
+    return [min(MOST, max(LEAST, x)) for x in exact], keys
 
 
 def top_k(
@@ -149,22 +182,22 @@ def top_k(
         other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     )
     left, right = dealt(asked, "r", height, "c", width), dealt(blocks, "c", width, "r", height)
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("exact", pa.binary())])
 
     def run(key: tuple, some: pa.Table, others: pa.Table) -> pa.Table:
         out = []
         for x in some.to_pylist():
             q_ids, q = _opened(x)
-            found = tuple(np.empty(0, np.int64) for _ in range(3))
+            found = NONE
             for row in range(others.num_rows):
                 c_ids, c = _opened(others.slice(row, 1).to_pylist()[0])
                 new = best(q, q_ids, c, c_ids, k)
                 found = top(*(np.concatenate(y) for y in zip(found, new)), k)
-            out.append(batch(schema, [q_ids[found[0]], found[1], found[2]]))
+            out.append(batch(schema, [q_ids[found[0]], found[1], *_shown(found[2])]))
         return pa.Table.from_batches(out, schema=schema)
 
-    columns = ["r", "c", "n", "width", "ids", "data"]
+    columns = ["r", "c", "n", "width", "kind", "ids", "data"]
     cells = left.select(*columns).groupBy("r", "c").cogroup(right.select(*columns).groupBy("r", "c"))
-    found = cells.applyInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = cells.applyInArrow(run, "query_id long, vec_id long, score long, exact binary")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("exact"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
