@@ -158,7 +158,13 @@ def test_repeated_and_null_ids_with_clashing_names(spark):
     pages = one.selectExpr("doc_id AS page_id", "source AS url", "text AS html", *[c for c in NAMES])
     assert warc.records(spark, pages).count() == len(rows)
     vectors = one.selectExpr("doc_id AS vec_id", "array(n_chars, 1.0D) AS embedding", *[c for c in NAMES])
-    assert topk.top_k(spark, vectors, "id % 20 = 0", k=2).count() >= 0
+    found = collections.defaultdict(list)
+    for x in topk.top_k(spark, vectors, "id % 20 = 0", k=2).collect():
+        found[x.query_id].append((x.rank, x.vec_id, x.score))
+    use = [(x.vec_id, [int(64 * c) for c in x.embedding]) for x in vectors.collect() if x.vec_id is not None and None not in x.embedding]
+    for i in {d for d, _ in use if d % 20 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(q, c)), j) for d, q in use if d == i for j, c in use if j != i)[:2]
+        assert sorted(found[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
     clean_up(spark)
 
 
@@ -210,7 +216,7 @@ def test_kept_equals_its_rules(spark):
     """op9's verdict, line by line."""
     import re
 
-    lines = ["home | about | contact", "- item", "Accept our cookie settings now please", "Alle Rechte vorbehalten.", "too short", "This is a whole sentence of some words.", "A long line of words without an end mark here", "ok."]
+    lines = ["home | about | contact", "- item", "Accept our cookie settings now please", "Alle Rechte vorbehalten.", "too short", "This is a whole sentence of some words.", "- A sentence as a list entry.", "« Bonjour », dit-elle.", "- see (above)", "A long line of words without an end mark here", "ok."]
     r = random.Random(4)
     rows = [(i, "\n".join(f"{r.choice(lines)} {word(r)}" if r.random() < 0.3 else r.choice(lines) + " " + " ".join(word(r) for _ in range(r.randint(0, 12))) for _ in range(r.randint(8, 14))), "a") for i in range(60)]
     got = {x.doc_id: x for x in quality.judged(frame(spark, rows)).collect()}
@@ -220,8 +226,8 @@ def test_kept_equals_its_rules(spark):
         stay = []
         for x in t.split("\n"):
             nav = re.search(r"\|.*\||»|›|^\s*[-*•]\s", x)
-            bad = any(re.search(p, x.lower()) for p in quality.BOILERPLATE)
-            if x.split() and not nav and not bad and (end.search(x) or len(x.split()) >= quality.SHORT_LINE):
+            bad = any(re.search(p, x.lower()) for p in quality.BOILERPLATE) and len(x.split()) < quality.PHRASE_LINE
+            if x.split() and not bad and (end.search(x) or not nav and len(x.split()) >= quality.SHORT_LINE):
                 stay.append(x)
         chars, words = sum(len(w) for x in stay for w in x.split()), t.split()
         want = not got[d].base_failed and 100 * chars >= 50 * sum(map(len, words))
@@ -230,6 +236,19 @@ def test_kept_equals_its_rules(spark):
     assert {(False, True), (False, False)} <= seen
 
 
+def test_prose_is_no_boilerplate(spark):
+    """A phrase of boilerplate in a paragraph, and sentences that are written as a list, are kept."""
+    r = random.Random(9)
+    said = lambda n: " ".join(word(r) for _ in range(n))
+    prose = f"{said(90)} and chocolate cookies."
+    entries = "\n".join(f"- {said(8)}." for _ in range(20))
+    notes = "\n".join(["we use cookies on this site", "all rights reserved."] * 3)
+    rows = [(1, prose, "a"), (2, entries, "a"), (3, f"{said(60)}.\n{notes}", "a"), (4, "\n".join(f"- {said(8)}" for _ in range(20)), "a")]
+    got = {x.doc_id: x for x in quality.judged(frame(spark, rows)).collect()}
+    assert {d: x.kept for d, x in got.items()} == {1: True, 2: True, 3: True, 4: False}
+    assert got[1].clean_text == prose and got[2].clean_text == entries and "cookies" not in got[3].clean_text
+
+
 def test_a_cluster_must_name_its_shared_folder(monkeypatch):
     from tracelake.llm.common import shared_dir
 

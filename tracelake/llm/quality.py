@@ -1,9 +1,9 @@
 """Line-first cleaning; DataFrame functions only.
 
 Each line of a text is judged on its own: a line is removed if it is navigation (several separators,
-or a short list entry), boilerplate (a phrase of the lists below, one
-for each of four languages), or a short line that doesn't end as
-a sentence does.  A document that loses too large a share of its word characters is rejected.  A few
+or a list entry, that doesn't end as a sentence does), boilerplate (fewer than PHRASE_LINE words with a phrase of
+the lists below, one for each of four languages; in a longer line such a phrase is prose), or fewer than
+SHORT_LINE words that don't end as a sentence does.  A document that loses too large a share of its word characters is rejected.  A few
 counts of the whole text reject a document before that.
 
 Cases: a null text has no words and no lines, so it fails the base rules; so does an empty one; very
@@ -13,7 +13,7 @@ empty result; other columns are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import SPACE, WORD
@@ -30,14 +30,21 @@ BOILERPLATE = (
 NAVIGATION = r"(\|.*\||»|›|^\s*[-*•]\s)"
 SENTENCE_END = r"[.!?:;\x{2026}\"'\x{201D}\x{00BB})][\x20\x09-\x0D]*$"
 SHORT_LINE = 5
+PHRASE_LINE = 15
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 LEAST_KEPT = 50
 
 
+def _removed(line: Column) -> Column:
+    """Whether a line goes."""
+    open_end, words = ~line.rlike(SENTENCE_END), F.regexp_count(line, F.lit(WORD))
+    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE)) & (words < PHRASE_LINE)
+    return (open_end & (line.rlike(NAVIGATION) | (words < SHORT_LINE))) | boilerplate
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and clean_text: the lines that stay."""
-    bad = "|".join(BOILERPLATE)
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     d = d.withColumn("words", F.array_remove(F.split("t", SPACE + "+"), "")).withColumn("lines", F.split("t", "\n"))
     d = d.withColumn("n_words", F.size("words").cast("long"))
@@ -57,13 +64,7 @@ def judged(docs: DataFrame) -> DataFrame:
     d = d.withColumn(
         "base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     )
-    removed = (
-        f"x rlike r'{NAVIGATION}' or lower(x) rlike '{bad}' or "
-        f"(not x rlike r'''{SENTENCE_END}''' and regexp_count(x, r'{WORD}') < {SHORT_LINE})"
-    ).replace("'''", "\x00")
-    end = SENTENCE_END.replace("'", r"\x27").replace('"', r"\x22")
-    removed = removed.split("\x00")[0].rstrip("r") + f"r'{end}'" + removed.split("\x00")[2]
-    d = d.withColumn("stay", F.expr(f"filter(full, x -> not ({removed}))"))
+    d = d.withColumn("stay", F.filter("full", lambda x: ~_removed(x)))
     kept = F.expr(rf"aggregate(stay, 0L, (a, x) -> a + length(regexp_replace(x, r'{SPACE}+', '')))")
     d = d.withColumn("kept_chars", F.when(F.size("stay") == F.size("full"), F.col("word_chars")).otherwise(kept))
     d = d.withColumn("kept", ~F.col("base_failed") & (100 * F.col("kept_chars") >= LEAST_KEPT * F.col("word_chars")))

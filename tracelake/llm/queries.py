@@ -136,8 +136,9 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT b.*, coalesce(n_repeat, 0) AS n_rep,
             length(array_to_string(w, '')) AS chars,
             coalesce(list_sum(list_transform(list_filter(ls, lambda x: NOT (
-                regexp_matches(x, '{_NAV}') OR regexp_matches(lower(x), '{_BOILER}') OR
-                (NOT regexp_matches(x, '{_END}') AND len(regexp_extract_all(x, '{_W}')) < {quality.SHORT_LINE}))),
+                (regexp_matches(lower(x), '{_BOILER}') AND len(regexp_extract_all(x, '{_W}')) < {quality.PHRASE_LINE}) OR
+                (NOT regexp_matches(x, '{_END}')
+                    AND (regexp_matches(x, '{_NAV}') OR len(regexp_extract_all(x, '{_W}')) < {quality.SHORT_LINE})))),
                 lambda x: length(array_to_string(regexp_extract_all(x, '{_W}'), '')))), 0) AS stay
             FROM b LEFT JOIN r USING (doc_id))
         SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars,
