@@ -118,7 +118,7 @@ def test_running_counts_go_on_over_batches(spark, tmp_path):
 
 def test_infinite_points_take_no_part_in_a_fit(spark):
     x = np.arange(1.0, 20.0)
-    y = fits._lateral(x, [0.9, 10.0, -2.0])
+    y = 0.9 * (1 - 1 / (1 + np.exp((x - 10.0) / 2.0)))
     rows = [(1, float(a), float(b), 1.0) for a, b in zip(x, y)]
     bad = [(1, float("inf"), 0.5, 1.0), (1, 5.0, float("-inf"), 1.0), (1, 5.0, float("nan"), 1.0), (1, 5.0, 0.0, float("inf")), (1, None, 0.1, 1.0), (1, 3.0, 0.1, None)]
     clean, dirty = (fits.fit_lateral(spark.createDataFrame(d, "k int, x double, y double, w double"), ["k"], weight="w").first() for d in (rows, rows + bad))

@@ -216,18 +216,52 @@ def lateral_profiles(spark, sf_dir):
                     F.round(A.full_efficiency_radius(F.lit(0.9), F.lit(800.0), F.lit(-0.01), 0.5), 6).alias("radius"))
 
 
-@query()
+_HIT = "l_extendedprice > 52000 + 3000 * (l_quantity - 25) AND l_returnflag <> 'R'"
+_START = """tops AS (SELECT e, t, least(1.0, max(y)) AS p0, max(y) AS top, (max(x) - min(x)) / 8.0 AS p2 FROM pts GROUP BY e, t),
+start AS (SELECT e, t, p0, arg_min(x, (abs(y - top / 2), x)) AS p1, p2 FROM pts JOIN tops USING (e, t) GROUP BY e, t, p0, p2)"""
+_LATERAL_OUT = "SELECT e, t, round(p0, 4) AS efficiency, round(p1, {0}) AS p50, round(p2, {0}) AS width FROM fit"
+
+
+def _lateral_out(f, digits):
+    return f.select("e", "t", F.round("efficiency", 4).alias("efficiency"), F.round("p50", digits).alias("p50"), F.round("width", digits).alias("width"))
+
+
+@query(f"""WITH RECURSIVE pts AS (SELECT l_linenumber AS e, l_linestatus AS t, l_quantity AS x, count(*) FILTER (WHERE {_HIT}) / count(*) AS y, 1.0::DOUBLE AS w FROM lineitem GROUP BY 1, 2, 3),
+{_START}, {fits.least_squares_sql(fits.FALLING, "pts", "start", ["e", "t"])} {_LATERAL_OUT.format(3)}""")
 def lateral_fits(spark, sf_dir):
-    c = _grid(spark, sf_dir).groupBy("e", "t", "spd").agg(F.count_if("hit").alias("h"), F.count("*").alias("n"))
-    return fits.fit_lateral(c.select("e", "t", (F.col("spd") * 5.0).alias("x"), (F.col("h") / F.col("n")).alias("y")), ["e", "t"])
+    """The lateral function fitted to the efficiency of each cell by distance."""
+    c = _lines(spark, sf_dir).groupBy(F.col("l_linenumber").alias("e"), F.col("l_linestatus").alias("t"), F.col("l_quantity").alias("x")).agg((F.count_if(F.expr(_HIT)) / F.count("*")).alias("y"))
+    return _lateral_out(fits.fit_lateral(c, ["e", "t"]), 3)
+
+
+@query(f"""WITH RECURSIVE cells AS (SELECT l_linenumber AS e, l_linestatus AS t, 100 * ceil(l_quantity / 2) AS spd, count(*) FILTER (WHERE {_HIT}) AS h, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+pts AS (SELECT e, t, spd - 50 AS x, h / n AS y, n::DOUBLE AS w FROM (SELECT *, max(spd) OVER (PARTITION BY e, t) AS far FROM cells) WHERE spd <= far - 500),
+{_START}, {fits.least_squares_sql(fits.FALLING, "pts", "start", ["e", "t"])} {_LATERAL_OUT.format(1)}""")
+def binned_lateral_fits(spark, sf_dir):
+    """The same to bins of 100 m, weighted by their samples, without each cell's last five."""
+    spd = (100 * F.ceil(F.col("l_quantity") / 2)).cast("double")
+    c = _lines(spark, sf_dir).groupBy(F.col("l_linenumber").alias("e"), F.col("l_linestatus").alias("t"), spd.alias("spd")).agg(F.count_if(F.expr(_HIT)).alias("hits"), F.count("*").alias("n"))
+    b = fits.binned(c.withColumn("misses", F.col("n") - F.col("hits")), ["e", "t"], "spd", "hits", "misses")
+    return _lateral_out(fits.fit_lateral(b, ["e", "t"], weight="w"), 1)
 
 
-@query()
+@query(f"""WITH RECURSIVE pts AS (SELECT event_type AS kind, 10.0::DOUBLE * floor(value / 10) AS x, count(*)::DOUBLE AS y, 1.0::DOUBLE AS w FROM events GROUP BY 1, 2),
+start AS (SELECT kind, exp(regr_intercept(ln(y), x)) AS p0, -regr_slope(ln(y), x) AS p1 FROM pts GROUP BY 1),
+{fits.least_squares_sql(fits.EXPONENTIAL, "pts", "start", ["kind"])} SELECT kind, round(p0, 2) AS a, round(p1, 6) AS b, round(ln(5.0 / p0) / p1, 3) AS surplus FROM fit""")
 def rate_fits(spark, sf_dir):
-    c = _lines(spark, sf_dir).groupBy("l_linestatus", F.col("l_quantity").cast("double").alias("x")).agg(F.count_if(F.col("l_extendedprice") < 20000).alias("n"))
-    return fits.fit_exponential(c.select(F.col("l_linestatus").alias("kind"), "x", F.col("n").cast("double").alias("y")), ["kind"])
+    """Rates above a threshold that fall exponentially, and where they reach 5."""
+    c = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind"), (10.0 * F.floor(F.col("value") / 10)).alias("x")).agg(F.count("*").cast("double").alias("y"))
+    f = fits.fit_exponential(c, ["kind"])
+    return f.select("kind", F.round("a", 2).alias("a"), F.round("b", 6).alias("b"), F.round(fits.surplus(F.lit(5.0), F.col("a"), F.col("b")), 3).alias("surplus"))
 
 
-@query()
+@query(f"""WITH RECURSIVE h AS (SELECT event_type AS kind, floor(20 * log10(1 + value))::INT AS bin, count(*) AS n FROM events WHERE value >= 0 GROUP BY 1, 2),
+line AS (SELECT kind, regr_slope(ln(n), bin) AS s, regr_intercept(ln(n), bin) AS i FROM h WHERE bin < 12 OR bin >= 48 AND bin < 60 GROUP BY 1),
+pts AS (SELECT kind, bin::DOUBLE AS x, n - coalesce(exp(i + s * bin), 0) AS y, 1.0::DOUBLE AS w FROM h LEFT JOIN line USING (kind) WHERE bin >= 20 AND bin < 46),
+start AS (SELECT kind, greatest(max(y), 1) AS p0, arg_min(x, (-y, x)) AS p1, greatest((max(x) - min(x)) / 6, 1) AS p2 FROM pts GROUP BY 1),
+{fits.least_squares_sql(fits.GAUSS, "pts", "start", ["kind"])} SELECT kind, round(p1, 4) AS mean, round(p2, 4) AS sigma FROM fit""")
 def peak_fits(spark, sf_dir):
-    return fits.fit_peak(peak_histogram(spark, sf_dir), ["kind"], ((0, 20), (120, 200)), (20, 100))
+    """The peak of a charge histogram, on a logarithmic scale, over the background of its side bands."""
+    e = table(spark, sf_dir, "events").where("value >= 0")
+    h = e.groupBy(F.col("event_type").alias("kind"), F.floor(20 * F.log10(1 + F.col("value"))).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return fits.fit_peak(h, ["kind"], ((0, 12), (48, 60)), (20, 46)).select("kind", F.round("mean", 4).alias("mean"), F.round("sigma", 4).alias("sigma"))
