@@ -81,7 +81,7 @@ def least_squares(points: DataFrame, keys: list[str], model: Model, start: DataF
             *[F.sum(F.expr(f"w * s{i} * r")).alias(f"new_g{i}") for i in range(k)])
         both = state.join(found, same(), "left")
         better = F.coalesce(F.col("now") < F.col("cost"), F.lit(False))
-        done = F.col("done") | F.col("now").isNull() | F.expr("abs(now - cost) <= 1e-11 * cost OR now <= 1e-26 * size OR damp > 1e12")
+        done = F.col("done") | F.col("now").isNull() | F.expr("abs(now - cost) <= 1e-11 * cost OR now <= 1e-20 * size OR damp > 1e12")
         both = both.select(*keys, *[F.when(better, F.col(p)).otherwise(F.col(f"best{i}")).alias(f"best{i}") for i, p in enumerate(params)],
                            *[F.when(better, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in sums], F.when(better, F.col("now")).otherwise(F.col("cost")).alias("cost"),
                            F.when(better, F.col("damp") / 3).otherwise(F.col("damp") * 4).alias("damp"), done.alias("done"))
