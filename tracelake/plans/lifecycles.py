@@ -11,14 +11,14 @@ from tracelake.operators import metrics, triggers, windows
 
 
 def calibrated(traces: DataFrame, options: C.TraceOptions) -> DataFrame:
-    """p1 to p3 in units of the peak, q1 to q3 in units of the charge (before any filtering)."""
+    """p1 to p3 in units of the peak; q1 to q3 in whole counts (before any filtering), so that their sums are exact."""
     peaks = {}
     for i in (1, 2, 3):
         p = F.col(f"p{i}")
         filtered = A.downsample(p, options.phase) if options.downsample else p
         q = C.Q_PEAK_COMPATIBILITY if options.downsample else options.q_peak
         peaks[f"p{i}"] = A.digitise(filtered, q, options.clip_low, options.clip_high)
-    charges = {f"q{i}": A.charge(F.col(f"p{i}"), options.q_charge) for i in (1, 2, 3)}
+    charges = {f"q{i}": A.charge(F.col(f"p{i}"), 1.0) for i in (1, 2, 3)}
     return traces.withColumns(charges).withColumns(peaks)
 
 
@@ -46,7 +46,7 @@ def predictions(traces: DataFrame, key: str, options: C.TraceOptions, has_signal
     w = cal.select(key, "sig", "np", at, "p1", "p2", "p3", "q1", "q2", "q3")
     for c in ("p1", "p2", "p3", "q1", "q2", "q3"):
         w = w.withColumn(c, F.slice(c, F.col("start") + 1, options.window))
-    w = w.withColumn("integral", windows.integral(F.col("q1"), F.col("q2"), F.col("q3")))
+    w = w.withColumn("integral", windows.integral(F.col("q1"), F.col("q2"), F.col("q3")) / options.q_charge)
     lab = windows.label(F.col("sig"), F.col("np"), F.col("integral"), options.ignore_particles, options.ignore_low_charge)
     flagged = w.select(key, "start", lab.alias("label"), fired(F.col("p1"), F.col("p2"), F.col("p3")).alias("fired"), "integral")
     return windows.first_match(flagged, key)

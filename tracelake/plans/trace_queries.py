@@ -108,8 +108,8 @@ def digitised_trace(spark, sf_dir):
 round((list_sum(p1) + list_sum(p2) + list_sum(p3)) / 3 / 1593.51, 6) AS charge FROM ti""")
 def deposited_charge(spark, sf_dir):
     s = integer_stations(spark, sf_dir)
-    q = [A.total(A.charge(F.col(p))) for p in P]
-    return s.select("station", *[A.total(F.col(p)).cast("long").alias(f"sum_{p}") for p in P], F.round((q[0] + q[1] + q[2]) / 3, 6).alias("charge"))
+    q = [A.total(A.charge(F.col(p), 1.0)) for p in P]
+    return s.select("station", *[A.total(F.col(p)).cast("long").alias(f"sum_{p}") for p in P], F.round((q[0] + q[1] + q[2]) / 3 / C.Q_CHARGE, 6).alias("charge"))
 
 
 _NEXT = {"p1": "p2", "p2": "p3", "p3": "p1"}
