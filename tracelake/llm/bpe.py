@@ -32,6 +32,7 @@ from tracelake.llm.common import slices
 WORD_BITS = 6
 MASK = (1 << WORD_BITS) - 1
 SHIFT = 20  # a pair of ids as one integer
+PART = 1 << 20  # bytes of text that are encoded at once: cut into chunks they take some 30 times that
 FEW = 24  # buckets up to this size are merged one position at a time
 
 
@@ -230,7 +231,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, table, decimal = _codec(ranks, pattern)
         for rows in batches:
-            for part in slices(rows, most=4 << 20):
+            for part in slices(rows, most=PART):
                 packed = table.packed(part.column("text"))
                 counts, of_ids, of_bytes = [], [], []
                 for data in packed:
