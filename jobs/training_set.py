@@ -10,7 +10,8 @@ validation, is decided by hashes of ids, so reruns agree, and a row keeps its pa
 
 Rows are numbered by buckets of those hashes, so a source with a third of all rows isn't sorted by one task.  The
 set is written by part and label, with the number of sliding windows that each text gives; beside it goes a summary
-by source as JSON, and the ids that were left out for having no text.  All three are replaced by a rerun.
+by source as JSON, the ids that were left out for having no text, and the sizes and labels of all labelled texts,
+from which the rest is made: texts are read once.  All four are replaced by a rerun.
 """
 
 from __future__ import annotations
@@ -67,6 +68,8 @@ def run(spark: SparkSession, documents: str, labels: str, output: str, config: d
     output = output.rstrip("/")
     texts = spark.read.parquet(documents).select("doc_id", "text", "source", "lang")
     rows = described(texts, spark.read.parquet(labels).select("doc_id", "toxic"), config)
+    rows.write.mode("overwrite").parquet(f"{output}/described")  # so that texts are read and cut into words once
+    rows = spark.read.schema(rows.schema).parquet(f"{output}/described")
     rows.where("n_words = 0").select("doc_id", "source").write.mode("overwrite").parquet(f"{output}/left_out")
     chosen = balanced(rows.where("n_words > 0"), config["prior"])
     chosen.repartition("part", "label", F.pmod("doc_id", F.lit(8))).write.mode("overwrite").partitionBy("part", "label").parquet(f"{output}/set")
