@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tracelake.operators.ordering import numbered, quantile_bucket, running
 
 
+#: Rows that a task sorts, about, where whole batches go to one.
+ROWS = 1 << 18
+
+
 def split(files: DataFrame, name: str, share: float, order: Column) -> DataFrame:
     """part: the first int(share * n) files by `order` (a number) and name train, the others validate."""
     n = files.count()
@@ -22,7 +26,11 @@ def background_needed(n_sig: Column, n_other: Column, prior: float) -> Column:
 
 def balanced(rows: DataFrame, batch: str, prior: float, order: list[Column | str]) -> DataFrame:
     """Batches without too much background: signal rows, and the first BKG rows in `order` that the
-    prior leaves room for; batches without signal go."""
+    prior leaves room for; batches without signal go.
+
+    Batches are dealt out to so many tasks that each sorts about ROWS rows, however many there are in all."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(max(least, -(-rows.count() // ROWS)), batch)
     by = Window.partitionBy(batch)
     n_sig = F.count_if(F.col("label") == "SIG").over(by)
     n_cut = F.count_if(F.col("label").isin("INT", "PRT")).over(by)
