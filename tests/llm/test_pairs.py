@@ -141,3 +141,21 @@ def test_equal_rows_with_a_map(spark):
     df = spark.sql(f"SELECT 1L AS doc_id, '{text}' AS text, map('a', x) AS m, array(x) AS l FROM VALUES (2), (1), (1) AS t(x)")
     out = J.survivors(spark, df, 5, 80).collect()
     assert [(r.doc_id, r.m) for r in out] == [(1, {"a": 1})]
+
+
+def test_windows_of_an_anchor_in_two_chunks():
+    """An anchor at the border of two chunks has a place for its windows in each; a hot seed's windows are given once each."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(5)
+    text = "".join(r.choice("abcdefghij klmnop") for _ in range(S.CHUNK + 300)).encode()
+    at, _, _, first, last = S.anchors(text, np.array([len(text)]), 100)
+    i = next(i for i in range(len(at) - 1) if at[i] == at[i + 1])
+    assert first[i + 1] == last[i] + 1 == S.CHUNK
+    places = S.pack(at, at - last, at - first)
+    for some in ([i, i + 1], [i - 1, i, i + 1], [i, i + 1, i + 2]):
+        rows = pa.record_batch({"doc_id": [1], "key": [2], "text": [text.decode()], "places": [places[some]]})
+        out = pa.Table.from_batches(S._windowed(100)(iter([rows])))
+        assert out.column("lo").to_pylist() == list(range(first[some[0]], last[some[-1]] + 1))
+        assert len(set(out.column("h").to_pylist())) == len(set(at[some].tolist()))

@@ -368,8 +368,10 @@ def _windowed(length: int) -> Callable:
                 ):
                     a = np.unique(np.asarray(places.values, np.int64))
                     at, low, high = a >> 14, (a >> 14) - (a & 127), (a >> 14) - (a >> 7 & 127)
+                    by = np.argsort(high)  # an anchor whose windows lie in two chunks has two places, the further first
+                    at, low, high = at[by], low[by], high[by]
                     starts = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(low, high)]))
-                    anchor = at[np.searchsorted(high, starts)]  # ranges of one document don't overlap
+                    anchor = at[np.searchsorted(high, starts)]  # ranges of different anchors of a document don't overlap
                     buf = np.frombuffer(text, np.uint8)
                     for j in range(0, len(starts), 4096):
                         s, p = starts[j : j + 4096], anchor[j : j + 4096]
