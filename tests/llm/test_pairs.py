@@ -159,3 +159,35 @@ def test_windows_of_an_anchor_in_two_chunks():
         out = pa.Table.from_batches(S._windowed(100)(iter([rows])))
         assert out.column("lo").to_pylist() == list(range(first[some[0]], last[some[-1]] + 1))
         assert len(set(out.column("h").to_pylist())) == len(set(at[some].tolist()))
+
+
+def ring(n):
+    """Texts that share most of their words with all others and a passage with two of them, but link with none."""
+    r = random.Random(n)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    common, own = text(100), [text(12) for _ in range(n)]
+    return [(i, f"{own[i]} {common} {own[(i + 1) % n]}") for i in range(n)]
+
+
+def test_texts_that_share_a_min_hash_ask_few_others(spark, monkeypatch):
+    """Classes meet by the narrow rows of the matrix that they stand in, not as all members of a loose group."""
+    monkeypatch.setattr(J, "BLOCK", 4)
+    asked, real = [], J.reaching
+
+    def counted(queries, per_cent):
+        asked.append(queries.count())
+        return real(queries, per_cent)
+
+    monkeypatch.setattr(J, "reaching", counted)
+    rows = ring(60)
+    got = J.join(spark, frame(spark, rows), 3, 90).collect()
+    assert sorted((tuple(r) for r in got), key=str) == jaccard(rows, 3, 90)
+    assert 0 < asked[0] <= 2 * len(rows)
+
+
+def test_wide_rows_equal_brute_force(spark, monkeypatch):
+    for name, value in (("BLOCK", 4), ("WIDE", 2), ("LOOKED_AT", 1), ("PIVOTS", 1)):
+        monkeypatch.setattr(J, name, value)
+    for rows in (corpus(11), corpus(12) + [(1000 + i, t) for i, t in ring(20)]):
+        got = J.join(spark, frame(spark, rows), 3, 80).collect()
+        assert sorted((tuple(r) for r in got), key=str) == jaccard(rows, 3, 80)

@@ -6,13 +6,15 @@ Groups.  Similar classes are gathered under pivots: classes that share a min-has
 random members of it are its pivots, and the others are compared with these only.  Classes that found a
 pivot leave; a further min-hash gathers what is left, pivots included.  What proves to be linked when
 its texts are compared is a tight group: a connected one, so nothing within it has to be compared again.
-This is linear in the number of near copies, however large their cluster is.  Classes that are linked with
-no pivot form loose groups by the min-hash that they share with most others: similar, but not known to be linked.
+This is linear in the number of near copies, however large their cluster is.  Other classes are groups of their own.
+Those that have tokens in wide rows of the matrix also form loose groups, by the min-hash that they share with most
+others: for these rows only, which as pairs of single classes would cost the square of their width.
 
 Matrix.  Tokens are ordered from rare to common (by a counting sketch of fixed size over all documents).
 Two sets that link share one of the first tokens of either: of n - ceil(2 t n / (1 + t)) + 1 for the
-smaller and n - ceil(t n) + 1 for the larger one.  The matrix has a row for each of these tokens and
-group, with the range of sizes and of what follows the token; two groups (or members of a loose one) that meet in a
+smaller and n - ceil(t n) + 1 for the larger one.  A row is wide if a sample of the classes has the token often; that
+decides on the cost only, as each row is whole, by single classes or by loose groups.  The matrix has a row for each of
+these tokens and group, with the range of sizes and of what follows the token; two groups (or members of a loose one) that meet in a
 row and could still reach the threshold from there are a candidate pair.  Each group's token union is stored as
 bitmaps, one for each block of members.  The smaller group's members are the queries: the bitmap
 of a query and of the union bound the overlap from above, and only blocks that it may reach are opened.
@@ -51,6 +53,10 @@ PICKS = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 #: A bucket's members are looked up in so many parts.
 SALTS = 16
+#: Classes in a wide row of the matrix, about; one in so many is looked at.
+WIDE, LOOKED_AT = 512, 16
+#: In which rows a class stands under a label: a class of a loose group is by itself in narrow ones.
+ALL_ROWS, NARROW_ROWS, WIDE_ROWS = 0, 1, 2
 
 
 class WordHashes(dict):
@@ -341,11 +347,19 @@ def gathered(spark: SparkSession, docs: DataFrame, rows: DataFrame, classes: Dat
     return links
 
 
-def matrix_pairs(rows: DataFrame, named: DataFrame, per_cent: int) -> DataFrame:
+def wide_tokens(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """token: those of the matrix's wide rows, as a sample of the classes shows them."""
+    some = classes.where(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(LOOKED_AT)) == 0).select("key")
+    tokens = rows.select("key", "tokens").join(some, "key").select(F.explode("tokens").alias("token"))
+    return tokens.groupBy("token").agg(F.count("*").alias("c")).where(f"c >= {WIDE // LOOKED_AT}").select("token")
+
+
+def matrix_pairs(rows: DataFrame, named: DataFrame, wide: DataFrame, per_cent: int) -> DataFrame:
     """Pairs (a <= b) of groups that meet in a row of the matrix and may reach the threshold from there; a loose group
     also meets itself."""
-    tokens = rows.select("key", "tokens").join(named.select("key", "label", F.col("n_shingles").alias("n")), "key")
-    tokens = tokens.select("label", "n", F.posexplode("tokens").alias("pos", "token"))
+    tokens = rows.select("key", "tokens").join(named.select("key", "label", "place", F.col("n_shingles").alias("n")), "key")
+    tokens = tokens.select("label", "n", "place", F.posexplode("tokens").alias("pos", "token"))
+    tokens = tokens.join(wide.withColumn("wide", F.lit(WIDE_ROWS)), "token", "left").where(f"place in ({ALL_ROWS}, coalesce(wide, {NARROW_ROWS}))")
     tokens = tokens.select("token", "label", F.expr("shiftleft(n, 32) + pos").alias("at")).repartition("token")
     cells = tokens.select("token", "label", F.expr("shiftright(at, 32)").alias("n"), F.expr("at & 4294967295L").alias("pos"))
     early = F.expr(f"pos <= n - ({2 * per_cent} * n + {99 + per_cent}) div {100 + per_cent}")
@@ -392,10 +406,10 @@ def reaching(queries: DataFrame, per_cent: int) -> DataFrame:
     return queries.select("g", "i", "key", "n_shingles", "bits", "union").mapInArrow(run, "g long, i int, key long, n_shingles long, bits binary")
 
 
-def matched(spark: SparkSession, docs: DataFrame, rows: DataFrame, named: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """Links between groups and within loose ones.  `named`: key, n_shingles, label (odd: of a loose group), members and
-    weight (of the group) of every class."""
-    pairs = cut(spark, matrix_pairs(rows, named, per_cent), "pairs")
+def matched(spark: SparkSession, docs: DataFrame, rows: DataFrame, named: DataFrame, wide: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """Links between groups and within loose ones.  `named`: key, n_shingles, label (odd: of a loose group), place, members
+    and weight (of the group) of every class; twice, if it is in a loose group."""
+    pairs = cut(spark, matrix_pairs(rows, named, wide, per_cent), "pairs")
     large = named.where("members > 1").groupBy("label").agg(F.first("members").alias("members"))
     sized = pairs
     for side in ("a", "b"):
@@ -422,25 +436,25 @@ def matched(spark: SparkSession, docs: DataFrame, rows: DataFrame, named: DataFr
     return links
 
 
-def with_groups(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, n_shingles, label, members and weight of every class: those of a tight group share an even label, those of
-    a loose one an odd one."""
+def with_groups(rows: DataFrame, classes: DataFrame, labels: DataFrame, wide: DataFrame) -> DataFrame:
+    """key, n_shingles, label, place, members and weight of every class: those of a tight group share an even label, others
+    have one of their own.  Those with tokens in wide rows may be in a loose group too, with a row of an odd label."""
     named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-    picks = named.where("label IS NULL").select("key", F.posexplode(F.array(*[f"h{r}" for r in range(ROUNDS)])).alias("r", "h"))
-    shared = picks.groupBy("r", "h").agg(F.count("*").alias("c")).where("c > 1")
-    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    picks = picks.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(9)), F.lit(SALTS)).cast("int"))
-    loose = picks.join(shared, ["r", "h", "salt"]).groupBy("key").agg(F.max(F.struct("c", "r", "h")).alias("x"))
-    loose = loose.select("key", F.xxhash64("x.r", "x.h").alias("loose"))
-    named = named.join(loose, "key", "left")
-    tight = F.expr("xxhash64(coalesce(label, fp)) & ~1L")
-    named = named.select(
-        "key", "n_shingles", F.coalesce(F.expr("loose | 1L"), tight).alias("label"), F.expr("label IS NOT NULL OR loose IS NOT NULL").alias("many")
-    )
+    salt = F.pmod(F.xxhash64("key", F.lit(9)), F.lit(SALTS)).cast("int").alias("salt")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    tokens = rows.select("key", F.explode("tokens").alias("token"))
+    often = tokens.join(wide, "token", "left_semi").select("key").distinct()
+    picks = named.where("label IS NULL").join(often, "key", "left_semi").select("key", F.posexplode(F.array(*[f"h{r}" for r in range(ROUNDS)])).alias("r", "h"))
+    shared = picks.groupBy("r", "h").agg(F.count("*").alias("c")).where("c > 1").withColumn("salt", salts)
+    loose = picks.withColumn("salt", salt).join(shared, ["r", "h", "salt"]).groupBy("key").agg(F.max(F.struct("c", "r", "h")).alias("x"))
+    loose = loose.select("key", F.expr("xxhash64(x.r, x.h) | 1L").alias("loose"))
+    own = F.struct(F.expr("xxhash64(coalesce(label, fp)) & ~1L").alias("label"), F.expr(f"if(loose IS NULL, {ALL_ROWS}, {NARROW_ROWS})").alias("place"))
+    both = F.array_compact(F.array(own, F.when(F.col("loose").isNotNull(), F.struct(F.col("loose").alias("label"), F.lit(WIDE_ROWS).alias("place")))))
+    many = F.col("label").isNotNull() | F.col("loose").isNotNull()
+    named = named.join(loose, "key", "left").select("key", "n_shingles", many.alias("many"), F.inline(both))
     sums = named.where("many").groupBy("label").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("weight"))
-    sums = sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    named = named.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(9)), F.lit(SALTS)).cast("int")).join(sums, ["label", "salt"], "left")
-    return named.select("key", "n_shingles", "label", F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("weight", "n_shingles").alias("weight"))
+    named = named.withColumn("salt", salt).join(sums.withColumn("salt", salts), ["label", "salt"], "left")
+    return named.select("key", "n_shingles", "label", "place", F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("weight", "n_shingles").alias("weight"))
 
 
 def grouped(spark: SparkSession, docs: DataFrame, k: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
@@ -454,14 +468,15 @@ def grouped(spark: SparkSession, docs: DataFrame, k: int, per_cent: int) -> tupl
     classes = cut(spark, classes, "classes", narrow=True)
     links = gathered(spark, docs, full, classes, k, per_cent)
     labels = components(spark, links)
-    named = cut(spark, with_groups(classes, labels), "named", narrow=True)
-    more = matched(spark, docs, full, named, k, per_cent)
+    wide = cut(spark, wide_tokens(full, classes), "wide", narrow=True)
+    named = cut(spark, with_groups(full, classes, labels, wide), "named", narrow=True)
+    more = matched(spark, docs, full, named, wide, k, per_cent)
     if more.take(1):
         drop(spark, labels)
         labels = components(spark, links.unionByName(more))
     of = classes.select("fp", "doc_id").join(labels.withColumnRenamed("node", "fp"), "fp", "left")
     of = cut(spark, of.select("fp", "doc_id", F.coalesce("label", "fp").alias("label")), "labels", narrow=True)
-    drop(spark, profiled, classes, links, named, more, labels)
+    drop(spark, profiled, classes, links, wide, named, more, labels)
     return rows, of
 
 
